@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from brightweir.llm import suffix_dedup
+from brightweir.llm import decontaminate, simhash, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op6_decontaminate": decontaminate.op6,
+    "op8_simhash": simhash.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.OP6_SQL,
+}
