@@ -243,7 +243,9 @@ def _spread(sorted_pos: np.ndarray, before: int, after: int) -> np.ndarray:
 
 
 def repeated_spans(classes: DataFrame, min_len: int, buckets: int) -> DataFrame:
-    """classes (h binary of 16 bytes, text binary), one row a text: (h, pos array of packed starts of repeated strings)."""
+    """classes (h binary of 16 bytes, text binary, ...), one row a text: (h, pos array of packed starts of repeated strings).
+
+    All of its columns go along, so that each use of classes is the same plan and reads the same shuffle."""
     v, cover = difference_cover(min_len)
     sampled = np.zeros(v, bool)
     sampled[list(cover)] = True
@@ -272,10 +274,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.unhex(F.md5("text")))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A bucket holds the sample suffixes of about 16 MB of text.
-    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 << 20)))
+    # A bucket holds the sample suffixes of about 48 MB of text; the fewer buckets, the longer a document's runs in each.
+    buckets = max(12, -(-total // (48 << 20)))
     classes = base.groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    found = classes.join(repeated_spans(classes.select("h", "text"), min_len, buckets), "h", "left")
+    found = classes.join(repeated_spans(classes, min_len, buckets), "h", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
