@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brightweir.llm import decontaminate, simhash, suffix_dedup
+from brightweir.llm import decontaminate, simhash, suffix_dedup, token_store
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
     "op6_decontaminate": decontaminate.op6,
     "op8_simhash": simhash.op8,
+    "op9_token_store": token_store.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
