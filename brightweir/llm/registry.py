@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from brightweir.llm import decontaminate, simhash, suffix_dedup, token_store
+from brightweir.llm import decontaminate, language_id, mixing, quality, secrets, simhash, suffix_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_mixing": mixing.op2,
+    "op3_quality": quality.op3,
+    "op4_secrets": secrets.op4,
+    "op5_language_id": language_id.op5,
     "op6_decontaminate": decontaminate.op6,
+    "op7_warc": warc.op7,
     "op8_simhash": simhash.op8,
     "op9_token_store": token_store.op9,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -241,6 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs with the smallest id of their component; of repeated ids one row stays. Columns as they were."""
+    groups = near_duplicates(docs, id_col, text_col, **settings)
+    gone = cut(groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
+    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    repeated = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col])
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     from brightweir.session import table
 
