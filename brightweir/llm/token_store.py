@@ -149,7 +149,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "n_docs", "n_ids", "width", "low", "high"])
 
-    rows = ordered.mapInArrow(run, "shard int, n_docs long, n_ids long, width int, low long, high long").orderBy("shard").collect()
+    # Sorted here: a row a shard, and an orderBy would run the job twice, once to sample it.
+    rows = sorted(ordered.mapInArrow(run, "shard int, n_docs long, n_ids long, width int, low long, high long").collect())
     before, lines = 0, []
     for r in rows:
         lines.append((*r, before))
