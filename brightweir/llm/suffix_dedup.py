@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 20
+SHARE = 2
 FLUSH = 3_000_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -42,11 +43,11 @@ _MARKS = "bucket int, fp binary, docs binary, counts binary, pos binary"
 
 @functools.lru_cache
 def difference_cover(min_len: int) -> tuple[int, tuple[int, ...]]:
-    """(v, D): the largest Singer difference set that leaves a fifth of min_len to compare; (1, (0,)) for short ones."""
+    """(v, D): the largest Singer difference set that leaves half of min_len to compare; (1, (0,)) for short ones."""
     best = (1, (0,))
     for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43):
         v = q * q + q + 1
-        if min_len - v + 1 < max(4, min_len // 5):
+        if min_len - v + 1 < max(4, min_len // SHARE):
             break
         best = (v, _singer(q, v))
     return best
@@ -273,6 +274,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     exclusive) and, if asked for, kept (the remaining bytes)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.unhex(F.md5("text")))
+    base = base.where("h IS NOT NULL")  # always so; a join on h asks for it, and each use of the classes is to be one plan
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A bucket holds the sample suffixes of about 48 MB of text; the fewer buckets, the longer a document's runs in each.
     buckets = max(12, -(-total // (48 << 20)))
