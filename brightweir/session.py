@@ -26,12 +26,19 @@ def get_session(app: str = "brightweir", master: str | None = None, partitions:
     )
 
 
+#: Environment of Python workers: freed memory goes back to the system, so that idle workers hold little.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
+    """Let Python workers import this package wherever the driver was started from, and bound what a worker holds at once."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
