@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 PIECE = 1 << 20
 SHARE = 2
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MARKS = "bucket int, fp binary, docs binary, counts binary, pos binary"
@@ -202,7 +202,7 @@ def _shared(kind):
         for fp, d, c, p in zip(*(group[x].to_pylist() for x in ("fp", "docs", "counts", "pos")), strict=True):
             counts = _unplanes(c, np.uint32).astype(np.int64)
             ids += [d[i : i + 16] for i in range(0, len(d), 16)]
-            docs.append(np.repeat(np.arange(at, at + len(counts)), counts))
+            docs.append(np.repeat(np.arange(at, at + len(counts), dtype=np.int32), counts))
             at += len(counts)
             spots.append(np.cumsum(_unplanes(p, np.int32).astype(np.int64)))
             keys.append((np.frombuffer(fp, kind), len(spots) - 1) if fp is not None else None)
@@ -265,7 +265,8 @@ def repeated_spans(classes: DataFrame, min_len: int, buckets: int) -> DataFrame:
 
     cover_marks = found(classes.mapInArrow(_dealer(buckets, min_len - v + 1, np.uint32, in_sample), _MARKS), np.uint32)
     marked = classes.join(cover_marks.groupBy("h").agg(F.collect_list("pos").alias("marks")), "h")
-    repeats = found(marked.mapInArrow(_dealer(buckets, min_len, np.uint64, near_shared), _MARKS), np.uint64)
+    # Fingerprints of this pass are twice as long.
+    repeats = found(marked.mapInArrow(_dealer(3 * buckets, min_len, np.uint64, near_shared), _MARKS), np.uint64)
     return repeats.groupBy("h").agg(F.collect_list("pos").alias("pos"))
 
 
