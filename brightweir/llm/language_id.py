@@ -73,16 +73,17 @@ class Model:
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        lists = _words(pc.fill_null(texts, ""))
+        flat = _letters(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(flat)  # of an empty string: an empty word
         edges = lists.offsets.to_numpy()
         n = np.diff(edges)
         labels, score = np.full(len(n), "und", object), np.zeros(len(n))
-        some = np.flatnonzero(n)
+        some = np.flatnonzero(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))
         if not len(some) or not self.languages:
             return labels.tolist(), score
         coded = lists.flatten().dictionary_encode()
         each = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        sums = np.add.reduceat(each, (edges[:-1] - edges[0])[some], axis=0, dtype=np.float64)
+        sums = np.add.reduceat(each, edges[:-1] - edges[0], axis=0, dtype=np.float64)[some]
         mean = sums / n[some][:, None]
         best = mean.argmax(axis=1)
         z = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n[some], SURE)[:, None])
@@ -91,9 +92,9 @@ class Model:
         return labels.tolist(), score
 
 
-def _words(texts: pa.Array) -> pa.ListArray:
-    """Runs of letters in lower case."""
-    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " "))).cast(pa.list_(pa.string())) if len(texts) else pa.array([], pa.list_(pa.string()))
+def _letters(texts: pa.Array) -> pa.Array:
+    """Runs of letters in lower case, one space between them."""
+    return pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " "))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 6000, max_entries: int = 100_000, parts: int = 3, held: int = 1, longest: int = LONGEST) -> Model:
