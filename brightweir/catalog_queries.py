@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightweir.functions import periods, text
-from brightweir.operators import audit, search, snapshot, verdict
+from brightweir.functions import parsing, periods, text
+from brightweir.operators import audit, release, search, snapshot, verdict
 from brightweir.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,8 +358,46 @@ def dedup_precedence(spark, d):
     return keyed.join(per, "h", "left").select("doc_id", decision.alias("decision"))
 
 
-@_query("SELECT sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus), ',' ORDER BY sha256(CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus))) AS root FROM (SELECT * FROM orders WHERE o_orderstatus = 'P')")
+@_query("""WITH k AS (SELECT sha256(CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus) AS k FROM orders), b AS (SELECT substr(k, 1, 3) AS p, sha256(string_agg(k, ',' ORDER BY k)) AS h, count(*) AS n FROM k GROUP BY 1)
+SELECT sha256(string_agg(h, ',' ORDER BY p)) AS root, CAST(sum(n) AS BIGINT) AS identities FROM b""")
 def identity_hash(spark, d):
-    """One hash over the sorted identities of a release (the published subset, as it is built)."""
-    ids = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.sha2(F.concat_ws("/", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("k"))
-    return ids.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("root"))
+    """One hash over all sorted identities, by way of a hash for each of 4,096 prefixes, so no task sorts them all."""
+    ids = table(spark, d, "orders").select(F.sha2(F.concat_ws("/", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("k"))
+    part = ids.groupBy(F.substring("k", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = part.agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("l"), F.sum("n").alias("identities"))
+    return whole.select(F.sha2(F.array_join("l.h", ","), 256).alias("root"), "identities")
+
+
+@_query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 45 AS e FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 1, 6) THEN s WHEN k = 3 THEN date_trunc('month', s)::DATE END AS start_day, CASE WHEN k IN (0, 6) THEN e WHEN k = 2 THEN s WHEN k = 3 THEN last_day(e) END AS end_day,
+  CASE WHEN k IN (0, 1, 2, 3, 6) THEN 'fixed_period' WHEN k = 4 THEN 'always' END AS schedule,
+  CASE WHEN k IN (0, 6) THEN CASE WHEN DATE '{AS_OF}' < s THEN 'scheduled' WHEN DATE '{AS_OF}' > e THEN 'closed' ELSE 'open' END WHEN k = 1 AND DATE '{AS_OF}' < s THEN 'scheduled'
+    WHEN k = 2 THEN CASE WHEN DATE '{AS_OF}' > s THEN 'closed' ELSE 'open' END WHEN k = 3 THEN CASE WHEN DATE '{AS_OF}' < date_trunc('month', s) THEN 'scheduled' WHEN DATE '{AS_OF}' > last_day(e) THEN 'closed' ELSE 'open' END
+    WHEN k = 4 THEN 'open' END AS status,
+  CASE WHEN k = 5 THEN 'invalid_application_date_order' WHEN k = 6 THEN 'extra_application_dates' WHEN k = 7 THEN 'unparsed_application_period' END AS issue FROM o""")
+def parsed_period(spark, d):
+    """Periods written out in eight ways and parsed again; the SQL side never sees the text."""
+    s = periods.day(F.col("o_orderdate"))
+    e, k = F.date_add(s, 45), F.col("o_orderkey") % 8
+    dot, flat, month = (lambda c: F.date_format(c, "yyyy.MM.dd")), (lambda c: F.date_format(c, "yyyyMMdd")), (lambda c: F.date_format(c, "yyyy년 M월"))
+    ways = [F.concat_ws(" ~ ", dot(s), dot(e)), F.concat(dot(s), F.lit(" 부터")), F.concat(flat(s), F.lit("까지")), F.concat_ws("~", month(s), month(e)), F.lit("상시 접수"), F.concat_ws("~", dot(e), dot(s)), F.concat_ws(" ~ ", flat(s), flat(e), flat(e)), F.lit("추후 공지")]
+    written = F.element_at(F.array(*ways), (k + 1).cast("int"))
+    parsed = parsing.period(written, F.lit(AS_OF).cast("date"))
+    return table(spark, d, "orders").select("o_orderkey", parsed.alias("p")).select("o_orderkey", F.col("p.start").alias("start_day"), F.col("p.end").alias("end_day"), "p.schedule", "p.status", "p.issue")
+
+
+@_query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size AS n FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 1) THEN n END AS low, CASE WHEN k = 0 THEN n + 15 WHEN k = 2 THEN n END AS high, CASE WHEN k = 3 THEN 'unparsed_age_condition' WHEN k = 4 THEN 'invalid_age_range' END AS issue, CASE WHEN k = 5 THEN NULL ELSE n END AS asked FROM p""")
+def parsed_age(spark, d):
+    """Age limits written out in six ways and parsed again."""
+    n, k = F.col("p_size"), F.col("p_partkey") % 6
+    ways = [F.concat(F.lit("만 "), n, F.lit("세 ~ "), n + 15, F.lit("세")), F.concat(n, F.lit("세 이상")), F.concat(n, F.lit("세 이하")), F.concat(F.lit("약 "), n, F.lit("세")), F.concat(n, F.lit("세~"), F.lit(0), F.lit("세")), F.lit("제한 없음")]
+    written = F.element_at(F.array(*ways), (k + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", parsing.age_limits(written).alias("a"), parsing.asked_age(written).alias("asked"))
+    return rows.select("p_partkey", "a.low", "a.high", "a.issue", "asked")
+
+
+@_query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS section FROM conversations""")
+def section_carry_forward(spark, d):
+    turns = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("turn")))
+    return release.carried(turns, ["conv_id"], ["turn", "text"], "head", "section").select("conv_id", "turn", "section")
