@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightweir.functions import parsing, periods, text
-from brightweir.operators import audit, release, search, snapshot, verdict
+from brightweir.operators import audit, integrity, release, search, snapshot, verdict
 from brightweir.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,3 +401,39 @@ def parsed_age(spark, d):
 def section_carry_forward(spark, d):
     turns = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("turn")))
     return release.carried(turns, ["conv_id"], ["turn", "text"], "head", "section").select("conv_id", "turn", "section")
+
+
+@_query("""WITH nodes AS (SELECT 'n' || n_nationkey AS code, CASE WHEN n_nationkey % 6 = 1 THEN 'x' || n_nationkey WHEN n_nationkey % 6 = 2 THEN 'n' || n_nationkey ELSE 'r' || n_regionkey END AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL FROM region UNION ALL SELECT 'r1', NULL)
+SELECT code, 'duplicate_code' AS fault FROM nodes GROUP BY code HAVING count(*) > 1 UNION ALL SELECT code, 'own_parent' FROM nodes WHERE code = parent
+UNION ALL SELECT code, 'unknown_parent' FROM nodes WHERE parent IS NOT NULL AND parent NOT IN (SELECT code FROM nodes) UNION ALL SELECT NULL, 'root_count' FROM nodes HAVING count(*) FILTER (WHERE parent IS NULL) <> 1""")
+def reference_integrity(spark, d):
+    k, n = F.col("n_nationkey"), F.concat(F.lit("n"), "n_nationkey")
+    parent = F.when(k % 6 == 1, F.concat(F.lit("x"), k)).when(k % 6 == 2, n).otherwise(F.concat(F.lit("r"), "n_regionkey"))
+    nations = table(spark, d, "nation").select(n.alias("code"), parent.alias("parent"))
+    regions = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("code"), F.lit(None).cast("string").alias("parent"))
+    again = spark.createDataFrame([("r1", None)], "code string, parent string")
+    return integrity.tree_faults(nations.unionByName(regions).unionByName(again))
+
+
+@_query("""WITH r AS (SELECT o_custkey AS k, o_orderkey AS run, o_orderstatus AS s, o_orderdate AS t FROM orders)
+SELECT c_custkey AS k, c_name, (SELECT count(*) FROM r WHERE k = c_custkey) AS n, l.run AS latest_run, a.run AS active_run FROM customer
+LEFT JOIN (SELECT k, run FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, run DESC) = 1) l ON l.k = c_custkey
+LEFT JOIN (SELECT k, run FROM r WHERE s = 'O' QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, run DESC) = 1) a ON a.k = c_custkey""")
+def admin_status_view(spark, d):
+    runs = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("run"), "o_orderstatus", "o_orderdate")
+    catalog = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return integrity.status_view(catalog, runs, runs, "k", [F.col("o_orderdate").desc(), F.col("run").desc()], F.col("o_orderstatus") == "O")
+
+
+@_query(r"""SELECT o_orderkey, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || o_orderkey || '@orders' || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(o_orderdate, '%Y%m%d') || chr(13) || chr(10)
+  || 'DTEND;VALUE=DATE:' || strftime(CAST(o_orderdate AS DATE) + 1, '%Y%m%d') || chr(13) || chr(10) || 'SUMMARY:' || o_orderpriority || '\, due\; ' || o_orderstatus || chr(13) || chr(10) || 'END:VEVENT' AS event FROM orders""")
+def calendar_export(spark, d):
+    title = F.concat("o_orderpriority", F.lit(", due; "), "o_orderstatus")
+    uid = F.concat(F.col("o_orderkey").cast("string"), F.lit("@orders"))
+    return table(spark, d, "orders").select("o_orderkey", integrity.calendar_event(uid, periods.day(F.col("o_orderdate")), title).alias("event"))
+
+
+@_query(f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '{text.EMAIL}', '', 'g'), '{text.PHONE}', '', 'g'))) AS cleaned FROM documents""")
+def contact_cleanup(spark, d):
+    t = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), text.EMAIL, ""), text.PHONE, "")
+    return table(spark, d, "documents").select("doc_id", F.md5(F.trim(t)).alias("cleaned"))
