@@ -230,26 +230,49 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def placed(prints: DataFrame, radius: int) -> DataFrame:
+    """prints (id, fp, ...): (fp, root, least), the component of each fingerprint, and the smallest id of a fingerprint's rows."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hexadecimal digits), component_id."""
     prints = cut(with_fingerprint(docs, id_col, text_col, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(ids, "root").select("fp", "component_id")
+    nodes = placed(prints, radius)
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = nodes.join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs with the smallest id of their component; of repeated ids one row stays. Columns as they were."""
-    groups = near_duplicates(docs, id_col, text_col, **settings)
-    gone = cut(groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    repeated = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+def text_key(text_col: str):
+    """16 bytes that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rows (id, key, node, root), one per row of docs: of each root the row of docs with the smallest id (nulls last), node
+    and text key. Rows are told apart by id and text; of rows that are equal in both, one stays."""
+    rows = rows.withColumnRenamed(id_col, "__id").groupBy("root", "__id", "node", F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("__id").isNull().alias("last"), "__id", "node", "__key")
+    rows = cut(rows.select("root", "rows", order.alias("row")))
+    first = rows.groupBy("root").agg(F.min("row").alias("chosen"))
+    told = rows.join(first, "root").select("row.__id", "row.__key", "rows", (F.col("row") == F.col("chosen")).alias("stays"))
+    gone = cut(told.where("NOT stays").select("__id", "__key"))
+    keyed = docs.withColumn("__text_key", text_key(text_col))
+    kept = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__text_key"] == gone["__key"]), "left_anti")
+    if not told.where("stays AND rows > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__text_key"])
+    return kept.drop("__text_key")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of docs for each component: the smallest id, nulls last. Columns as they were."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("key")).alias("row"), F.col(text_col).alias("text"))
+    prints = cut(with_fingerprint(keyed, "row", "text", shingle))
+    rows = prints.join(placed(prints, radius), "fp").select(F.col("id.id").alias(id_col), "id.key", F.col("fp").alias("node"), "root")
+    return one_of_each(docs, rows, id_col, text_col)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
