@@ -4,12 +4,12 @@ import random
 
 import pytest
 
-from brightweir.llm import simhash
+from brightweir.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("of", [simhash.representatives])
+@pytest.mark.parametrize("of", [simhash.representatives, near_copies.representatives])
 def test_null_and_repeated_ids(spark, of):
     r = random.Random(8)
     a, b, c, d, e, f = (" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(6))
