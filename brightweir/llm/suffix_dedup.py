@@ -12,11 +12,18 @@ and sorted bucket by bucket:
    are dealt to buckets, and each bucket is sorted on its own, so that a task holds one bucket. Equal neighbours are
    the repeated strings.
 
-Both passes order suffixes by a 64-bit fingerprint of the compared bytes rather than byte by byte: the depth is fixed,
-so only the adjacency of equal strings counts, and records need no text. Fingerprints are polynomial prefix sums, so a
-window costs two lookups at any depth. Repeats inside one task are settled there and reach a bucket once, which bounds
-what a very common passage sends to one bucket by the number of tasks. Texts that are equal as a whole are one class
-and are worked on once.
+Both passes order suffixes by a fingerprint of the compared bytes (with the bucket, over 64 bits in the second pass)
+rather than byte by byte: the depth is fixed, so only the adjacency of equal strings counts, and records need no text.
+Nothing is compared byte by byte after that. Fingerprints are polynomial prefix sums, so a window costs two lookups at
+any depth; modulo 2^64 these have structured collisions only for strings longer than the ones compared here. Repeats
+inside one task are settled there and reach a bucket once, which bounds what a very common passage sends to one bucket
+by the number of tasks. Texts that are equal as a whole are one class and are worked on once; texts are shuffled once,
+compressed, and all passes read that shuffle.
+
+*Passages.* With ``passage_words``, the same two passes run over word windows of that length, to tell which words of a
+document stand in a passage that another document has too. The first pass ranks window minima instead of a cover: of the
+``passage_words - ANCHOR + 1`` runs of ``ANCHOR`` words in a window the one with the smallest fingerprint, which is the same one in every
+copy. What a document itself has twice counts where it stands first. Byte removal does not depend on this.
 
 Nulls count as empty; repeated rows are copies of each other; a text below ``min_len`` keeps all its bytes; an empty
 table gives an empty result; other columns are ignored, whatever their names.
@@ -30,11 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 20
 SHARE = 2
+#: Words of the runs whose minima stand for passages.
+ANCHOR = 21
+#: Bytes of a text's MD5 that stand for it in marks.
+NAME = 12
 FLUSH = 2_000_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -78,7 +91,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """64-bit fingerprints of text[s : s + depth] for the sorted starts; long texts are gone through in pieces."""
+    """64-bit fingerprints of text[s : s + depth] for the sorted starts; long texts are gone through in pieces.
+
+    text: bytes, or 64-bit values of words."""
     values, powers, inverse = _tables()
     out = np.empty(len(starts), np.uint64)
     step = PIECE - depth
@@ -88,9 +103,13 @@ def fingerprints(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
             continue
         piece = text[at : at + PIECE]
         sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(values[piece] * powers[: len(piece)], out=sums[1:])
+        np.cumsum((values[piece] if text.dtype == np.uint8 else piece) * powers[: len(piece)], out=sums[1:])
         s = starts[lo:hi] - at
         out[lo:hi] = (sums[s + depth] - sums[s]) * inverse[s]
+    return _stirred(out)
+
+
+def _stirred(out: np.ndarray) -> np.ndarray:
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
@@ -99,8 +118,33 @@ def fingerprints(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     return out
 
 
+def word_values(text: bytes) -> np.ndarray:
+    """An odd 64-bit value of each word (runs between ASCII white space)."""
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | np.uint64(1)
+
+
+def minima(prints: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` prints the place of its smallest, the last one if even."""
+    n = len(prints) - width + 1
+    best, step = np.arange(len(prints)), 1
+    while step < width:  # best[i]: of the next min(2 * step, width) prints
+        hop = min(step, width - step)
+        a, b = best[: len(best) - hop], best[hop:]
+        best, step = np.where(prints[b] <= prints[a], b, a), step + hop
+    return best[:n]
+
+
+def _packed(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b)
+
+
+def _unpacked(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that the shuffle's codec sees the zeros of small numbers."""
+    """Bytes of equal weight together, so that compression sees the zeros of small numbers."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
@@ -121,8 +165,8 @@ def _pack(bucket: int, fp: np.ndarray | None, ids: list[bytes], doc: np.ndarray,
         bucket,
         None if fp is None else fp.tobytes(),
         b"".join(ids[i] for i in which),
-        _planes(counts.astype(np.uint32)),
-        _planes(np.diff(pos.astype(np.int64), prepend=0).astype(np.int32)),
+        _packed(_planes(counts.astype(np.uint32))),
+        _packed(_planes(np.diff(pos.astype(np.int64), prepend=0).astype(np.int32))),
     )
 
 
@@ -166,7 +210,8 @@ class _Deal:
         for b in range(self.buckets):
             if edges[b] < edges[b + 1]:
                 own = at[by[edges[b] : edges[b + 1]]]
-                rows.append(_pack(b, keys[own].astype(self.kind), self.ids, doc[own], pos[own]))
+                # The bucket follows from the upper half; the lower bits tell its members apart, with the upper ones mixed in.
+                rows.append(_pack(b, self.kind(keys[own]), self.ids, doc[own], pos[own]))
         told = np.flatnonzero(sure)
         for b, own in enumerate(np.array_split(told, min(self.buckets, 1 + len(told) // 4096))):
             if len(own):
@@ -176,18 +221,51 @@ class _Deal:
             yield _rows(rows[i : i + 64])
 
 
-def _dealer(buckets: int, depth: int, kind, starts):
-    """mapInArrow function over (h, text, ...): starts(row, length) gives the suffixes to deal."""
+def _four(keys: np.ndarray) -> np.ndarray:
+    return keys.astype("<u4")
+
+
+def _six(keys: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+
+
+def _eight(keys: np.ndarray) -> np.ndarray:
+    return keys.astype("<u8")
+
+
+_WIDTH = {_four: 4, _six: 6, _eight: 8}
+
+
+def _numbers(fp: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(fp, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel()
+
+
+def _dealer(buckets: int, depth: int, kind, starts, of_words: bool = False):
+    """mapInArrow function over (h, text, ...): starts(row, symbols) gives the suffixes to deal.
+
+    of_words: symbols are words, and each text deals a fingerprint once, so that equal ones are of different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = _Deal(buckets, kind)
         for batch in batches:
             for i in range(batch.num_rows):
-                text = np.frombuffer(batch["text"][i].as_py(), np.uint8)
+                raw = _unpacked(batch["text"][i].as_py())
+                if len(raw) < (2 * depth - 1 if of_words else depth):
+                    continue
+                text = word_values(raw) if of_words else np.frombuffer(raw, np.uint8)
                 if len(text) < depth:
                     continue
-                pos = starts(batch, i, len(text))
-                if len(pos) and deal.add(batch["h"][i].as_py(), fingerprints(text, pos, depth), pos):
+                pos = starts(batch, i, text)
+                if not len(pos):
+                    continue
+                keys = fingerprints(text, pos, depth)
+                if of_words:
+                    first = np.sort(np.unique(keys, return_index=True)[1])
+                    keys, pos = keys[first], pos[first]
+                if deal.add(batch["h"][i].as_py()[:NAME], keys, pos):
                     yield from deal.flush()
         yield from deal.flush()
 
@@ -196,16 +274,17 @@ def _dealer(buckets: int, depth: int, kind, starts):
 
 def _shared(kind):
     """applyInArrow function: the suffixes of one bucket whose fingerprint occurs again, by document."""
+    width = _WIDTH[kind]
 
     def run(group: pa.Table) -> pa.Table:
         ids, docs, spots, keys, at = [], [], [], [], 0
         for fp, d, c, p in zip(*(group[x].to_pylist() for x in ("fp", "docs", "counts", "pos")), strict=True):
-            counts = _unplanes(c, np.uint32).astype(np.int64)
-            ids += [d[i : i + 16] for i in range(0, len(d), 16)]
+            counts = _unplanes(_unpacked(c), np.uint32).astype(np.int64)
+            ids += [d[i : i + NAME] for i in range(0, len(d), NAME)]
             docs.append(np.repeat(np.arange(at, at + len(counts), dtype=np.int32), counts))
             at += len(counts)
-            spots.append(np.cumsum(_unplanes(p, np.int32).astype(np.int64)))
-            keys.append((np.frombuffer(fp, kind), len(spots) - 1) if fp is not None else None)
+            spots.append(np.cumsum(_unplanes(_unpacked(p), np.int32).astype(np.int64)))
+            keys.append((_numbers(fp, width), len(spots) - 1) if fp is not None else None)
         dealt = [i for i, k in enumerate(keys) if k is not None]
         flags = [np.ones(len(s), bool) for s in spots]
         if dealt:
@@ -224,7 +303,7 @@ def _shared(kind):
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             for lo, hi in zip(first, np.r_[first[1:], len(doc)], strict=True):
                 hs.append(ids[doc[lo]])
-                ps.append(_planes(np.diff(pos[lo:hi], prepend=0).astype(np.int32)))
+                ps.append(_packed(_planes(np.diff(pos[lo:hi], prepend=0).astype(np.int32))))
         return pa.table({"h": pa.array(hs, pa.binary()), "pos": pa.array(ps, pa.binary())})
 
     return run
@@ -233,7 +312,7 @@ def _shared(kind):
 def _positions(blobs: list[bytes]) -> np.ndarray:
     if not blobs:
         return np.empty(0, np.int64)
-    return np.unique(np.concatenate([np.cumsum(_unplanes(b, np.int32).astype(np.int64)) for b in blobs]))
+    return np.unique(np.concatenate([np.cumsum(_unplanes(_unpacked(b), np.int32).astype(np.int64)) for b in blobs]))
 
 
 def _spread(sorted_pos: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -243,70 +322,112 @@ def _spread(sorted_pos: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.stack([lo[np.r_[0, cut + 1]], hi[np.r_[cut, len(hi) - 1]]], axis=1)
 
 
+def _found(classes: DataFrame, dealt, kind) -> DataFrame:
+    """(name, marks): packed starts of the suffixes that occur again, of each text that has any."""
+    marks = classes.mapInArrow(dealt, _MARKS).groupBy("bucket").applyInArrow(_shared(kind), "h binary, pos binary")
+    return marks.groupBy(F.col("h").alias("name")).agg(F.collect_list("pos").alias("marks"))
+
+
 def repeated_spans(classes: DataFrame, min_len: int, buckets: int) -> DataFrame:
-    """classes (h binary of 16 bytes, text binary, ...), one row a text: (h, pos array of packed starts of repeated strings).
+    """classes (h, name, text compressed, ...), one row a text: (name, marks), the packed starts of repeated strings.
 
     All of its columns go along, so that each use of classes is the same plan and reads the same shuffle."""
     v, cover = difference_cover(min_len)
     sampled = np.zeros(v, bool)
     sampled[list(cover)] = True
 
-    def in_sample(_, __, n: int) -> np.ndarray:
-        at = np.arange(n - (min_len - v + 1) + 1)
+    def in_sample(_, __, text: np.ndarray) -> np.ndarray:
+        at = np.arange(len(text) - (min_len - v + 1) + 1)
         return at[np.resize(sampled, len(at))]
 
-    def near_shared(batch: pa.RecordBatch, i: int, n: int) -> np.ndarray:
+    def near_shared(batch: pa.RecordBatch, i: int, text: np.ndarray) -> np.ndarray:
         anchors = _positions(batch["marks"][i].as_py())
-        spans = np.clip(_spread(anchors, v - 1, 1), 0, n - min_len + 1)
+        spans = np.clip(_spread(anchors, v - 1, 1), 0, len(text) - min_len + 1)
         return np.concatenate([np.arange(lo, hi) for lo, hi in spans]) if len(spans) else anchors
 
-    def found(df: DataFrame, kind) -> DataFrame:
-        return df.groupBy("bucket").applyInArrow(_shared(kind), "h binary, pos binary")
-
-    cover_marks = found(classes.mapInArrow(_dealer(buckets, min_len - v + 1, np.uint32, in_sample), _MARKS), np.uint32)
-    marked = classes.join(cover_marks.groupBy("h").agg(F.collect_list("pos").alias("marks")), "h")
+    cover_marks = _found(classes, _dealer(buckets, min_len - v + 1, _four, in_sample), _four)
+    marked = classes.join(cover_marks, "name")
     # Fingerprints of this pass are twice as long.
-    repeats = found(marked.mapInArrow(_dealer(3 * buckets, min_len, np.uint64, near_shared), _MARKS), np.uint64)
-    return repeats.groupBy("h").agg(F.collect_list("pos").alias("pos"))
+    return _found(marked, _dealer(3 * buckets, min_len, _eight, near_shared), _eight)
+
+
+def shared_passages(classes: DataFrame, n_words: int, buckets: int) -> DataFrame:
+    """classes as above: (name, marks), the packed first words of windows of n_words words that another text has too."""
+    anchor = min(ANCHOR, n_words)
+    width = n_words - anchor + 1
+
+    def prints(text: np.ndarray) -> np.ndarray:
+        return fingerprints(text, np.arange(len(text) - anchor + 1), anchor)
+
+    def anchors(_, __, text: np.ndarray) -> np.ndarray:
+        return np.unique(minima(prints(text), width)) if len(text) >= n_words else np.empty(0, np.int64)
+
+    def near_shared(batch: pa.RecordBatch, i: int, text: np.ndarray) -> np.ndarray:
+        own = prints(text)
+        return np.flatnonzero(np.isin(own[minima(own, width)], own[_positions(batch["marks"][i].as_py())]))
+
+    marked = classes.join(_found(classes, _dealer(buckets, anchor, _four, anchors, True), _four), "name")
+    return _found(marked, _dealer(buckets, n_words, _six, near_shared, True), _six)
+
+
+def _compressed(text: str) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_packed(t) for t in texts.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")(text)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, passage_words: int | None = None, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs of bytes, end
-    exclusive) and, if asked for, kept (the remaining bytes)."""
+    exclusive); with passage_words, n_passage_words (words in windows of that many words that another row has too); and,
+    if asked for, kept (the remaining bytes)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.unhex(F.md5("text")))
     base = base.where("h IS NOT NULL")  # always so; a join on h asks for it, and each use of the classes is to be one plan
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A bucket holds the sample suffixes of about 48 MB of text; the fewer buckets, the longer a document's runs in each.
-    buckets = max(12, -(-total // (48 << 20)))
-    classes = base.groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    found = classes.join(repeated_spans(classes, min_len, buckets), "h", "left")
+    # A bucket holds the sample suffixes of about 64 MB of text; the fewer buckets, the longer a document's runs in each.
+    buckets = max(12, -(-total // (64 << 20)))
+    classes = base.select("h", _compressed("text").alias("text")).groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("*", F.substring("h", 1, NAME).alias("name"))
+    found = classes.join(repeated_spans(classes, min_len, buckets).withColumnRenamed("marks", "pos"), "name", "left")
+    if passage_words:
+        found = found.join(shared_passages(classes, passage_words, buckets).withColumnRenamed("marks", "passages"), "name", "left")
+    else:
+        found = found.withColumn("passages", F.lit(None).cast("array<binary>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for h, text, copies, blobs in zip(*(batch[c].to_pylist() for c in ("h", "text", "copies", "pos")), strict=True):
+            for h, text, copies, blobs, passages in zip(*(batch[c].to_pylist() for c in ("h", "text", "copies", "pos", "passages")), strict=True):
+                text = _unpacked(text)
                 if copies > 1 and len(text) >= min_len:
                     spans = np.array([[0, len(text)]])
                 else:
                     spans = _spread(_positions(blobs), 0, min_len) if blobs else np.empty((0, 2), np.int64)
                 edges = [0, *spans.ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                n = int((spans[:, 1] - spans[:, 0]).sum())
-                out.append((h, len(text), n, len(spans), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in spans], kept if keep_text else None))
-            names = ("h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+                n, n_words = int((spans[:, 1] - spans[:, 0]).sum()), 0
+                if passage_words and copies > 1:
+                    n_words = len(text.split())
+                    n_words = n_words if n_words >= passage_words else 0
+                elif passages:
+                    n_words = int(np.diff(_spread(_positions(passages), 0, passage_words), axis=1).sum())
+                out.append((h, len(text), n, len(spans), hashlib.sha256(kept).hexdigest(), n_words, [{"start": int(a), "end": int(b)} for a, b in spans], kept if keep_text else None))
+            names = ("h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "spans", "kept")
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
 
-    done = found.select("h", "text", "copies", "pos").mapInArrow(
-        cut, "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary"
+    done = found.select("h", "text", "copies", "pos", "passages").mapInArrow(
+        cut, "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, spans array<struct<start: long, end: long>>, kept binary"
     )
     out = base.select("id", "h").join(done, "h").drop("h").withColumnRenamed("id", id_col)
-    return out if keep_text else out.drop("kept")
+    return out.drop(*[c for c, wanted in (("kept", keep_text), ("n_passage_words", passage_words)) if not wanted])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and whether the document shares a passage of over 50 words with another."""
     from brightweir.session import table
 
-    return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+    out = dedup_substrings(table(spark, sf_dir, "documents"), passage_words=51).drop("spans")
+    return out.withColumn("repeats_passage", F.col("n_passage_words") > 0)

@@ -55,6 +55,31 @@ def test_substrings(spark, k):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, k)
 
 
+@pytest.mark.parametrize("k", [3, 8, 30])
+def test_passages_of_words(spark, k):
+    r = random.Random(k)
+    known = [f"w{i}" for i in range(40)]
+    shared = [[r.choice(known) for _ in range(n)] for n in (k - 1, k, k + 7)]
+    own = [[f"u{j}x{i}" for i in range(r.randint(0, 60))] for j in range(40)]
+    texts = [" ".join([*o, *r.choice(shared), *(r.choice(shared) if r.random() < 0.3 else []), *o[:5]]) for o in own]
+    texts += [None, "", texts[7], " ".join(shared[2] * 3), "only  " + "\t".join(shared[1]), " ".join([f"v{i}" for i in range(k)] * 2)]
+    split = [(t or "").split() for t in texts]
+    holders = {}
+    for i, w in enumerate(split):
+        for a in range(len(w) - k + 1):
+            holders.setdefault(tuple(w[a : a + k]), set()).add(i)
+    want = [any(len(holders[tuple(w[a : a + k])]) > 1 for a in range(len(w) - k + 1)) for w in split]
+    got = {x.doc_id: x.n_passage_words for x in suffix_dedup.dedup_substrings(docs_of(spark, texts), passage_words=k).collect()}
+    assert [got[i] > 0 for i in range(len(texts))] == want and sum(want) > 5
+    assert all(got[i] <= len(w) for i, w in enumerate(split))
+
+
+def test_minima_and_an_empty_table(spark):
+    x = np.array([5, 3, 3, 9, 1, 7, 1], np.uint64)
+    assert suffix_dedup.minima(x, 3).tolist() == [2, 2, 4, 4, 6]
+    assert suffix_dedup.dedup_substrings(docs_of(spark, ["x"]).limit(0), passage_words=51).count() == 0
+
+
 def test_difference_cover():
     v, d = suffix_dedup.difference_cover(400)
     assert v > 100 and {(a - b) % v for a in d for b in d} == set(range(v))
