@@ -46,8 +46,8 @@ PIECE = 1 << 20
 SHARE = 2
 #: Words of the runs whose minima stand for passages.
 ANCHOR = 21
-#: Bytes of a text's MD5 that stand for it in marks.
-NAME = 12
+#: Bytes of a text's name, its MD5.
+NAME = 16
 FLUSH = 2_000_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -265,7 +265,7 @@ def _dealer(buckets: int, depth: int, kind, starts, of_words: bool = False):
                 if of_words:
                     first = np.sort(np.unique(keys, return_index=True)[1])
                     keys, pos = keys[first], pos[first]
-                if deal.add(batch["h"][i].as_py()[:NAME], keys, pos):
+                if deal.add(batch["h"][i].as_py(), keys, pos):
                     yield from deal.flush()
         yield from deal.flush()
 
@@ -323,13 +323,13 @@ def _spread(sorted_pos: np.ndarray, before: int, after: int) -> np.ndarray:
 
 
 def _found(classes: DataFrame, dealt, kind) -> DataFrame:
-    """(name, marks): packed starts of the suffixes that occur again, of each text that has any."""
+    """(h, marks): packed starts of the suffixes that occur again, of each text that has any."""
     marks = classes.mapInArrow(dealt, _MARKS).groupBy("bucket").applyInArrow(_shared(kind), "h binary, pos binary")
-    return marks.groupBy(F.col("h").alias("name")).agg(F.collect_list("pos").alias("marks"))
+    return marks.groupBy("h").agg(F.collect_list("pos").alias("marks"))
 
 
 def repeated_spans(classes: DataFrame, min_len: int, buckets: int) -> DataFrame:
-    """classes (h, name, text compressed, ...), one row a text: (name, marks), the packed starts of repeated strings.
+    """classes (h, text compressed, ...), one row a text: (h, marks), the packed starts of repeated strings.
 
     All of its columns go along, so that each use of classes is the same plan and reads the same shuffle."""
     v, cover = difference_cover(min_len)
@@ -346,13 +346,13 @@ def repeated_spans(classes: DataFrame, min_len: int, buckets: int) -> DataFrame:
         return np.concatenate([np.arange(lo, hi) for lo, hi in spans]) if len(spans) else anchors
 
     cover_marks = _found(classes, _dealer(buckets, min_len - v + 1, _four, in_sample), _four)
-    marked = classes.join(cover_marks, "name")
+    marked = classes.join(cover_marks, "h")
     # Fingerprints of this pass are twice as long.
     return _found(marked, _dealer(3 * buckets, min_len, _eight, near_shared), _eight)
 
 
 def shared_passages(classes: DataFrame, n_words: int, buckets: int) -> DataFrame:
-    """classes as above: (name, marks), the packed first words of windows of n_words words that another text has too."""
+    """classes as above: (h, marks), the packed first words of windows of n_words words that another text has too."""
     anchor = min(ANCHOR, n_words)
     width = n_words - anchor + 1
 
@@ -366,7 +366,7 @@ def shared_passages(classes: DataFrame, n_words: int, buckets: int) -> DataFrame
         own = prints(text)
         return np.flatnonzero(np.isin(own[minima(own, width)], own[_positions(batch["marks"][i].as_py())]))
 
-    marked = classes.join(_found(classes, _dealer(buckets, anchor, _four, anchors, True), _four), "name")
+    marked = classes.join(_found(classes, _dealer(buckets, anchor, _four, anchors, True), _four), "h")
     return _found(marked, _dealer(buckets, n_words, _six, near_shared, True), _six)
 
 
@@ -388,10 +388,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # A bucket holds the sample suffixes of about 64 MB of text; the fewer buckets, the longer a document's runs in each.
     buckets = max(12, -(-total // (64 << 20)))
     classes = base.select("h", _compressed("text").alias("text")).groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    classes = classes.select("*", F.substring("h", 1, NAME).alias("name"))
-    found = classes.join(repeated_spans(classes, min_len, buckets).withColumnRenamed("marks", "pos"), "name", "left")
+    found = classes.join(repeated_spans(classes, min_len, buckets).withColumnRenamed("marks", "pos"), "h", "left")
     if passage_words:
-        found = found.join(shared_passages(classes, passage_words, buckets).withColumnRenamed("marks", "passages"), "name", "left")
+        found = found.join(shared_passages(classes, passage_words, buckets).withColumnRenamed("marks", "passages"), "h", "left")
     else:
         found = found.withColumn("passages", F.lit(None).cast("array<binary>"))
 
