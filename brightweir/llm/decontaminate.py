@@ -103,7 +103,8 @@ def _chunks(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int)
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_chars: int = 32 << 20) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (byte offsets, end exclusive).
 
-    docs must not have columns of these names or of hit_runs and hit_items."""
+    Columns of these names are replaced."""
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
     spark, out = docs.sparkSession, docs
     groups = _chunks(benchmark, item_col, item_text_col, max_chars)
     runs_type, items_type = pa.list_(pa.int64()), pa.list_(pa.string())
@@ -119,14 +120,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     runs.append(hit.ravel().tolist())
                     items.append([x for x in found if x is not None])
                 if not first:
-                    runs = [a + b for a, b in zip(batch["hit_runs"].to_pylist(), runs, strict=True)]
-                    items = [a + b for a, b in zip(batch["hit_items"].to_pylist(), items, strict=True)]
-                    batch = batch.drop_columns(["n_words", "hit_runs", "hit_items"])
-                yield appended(batch, n_words=pa.array(n_words, pa.int64()), hit_runs=pa.array(runs, runs_type), hit_items=pa.array(items, items_type))
+                    runs = [a + b for a, b in zip(batch["__hit_runs"].to_pylist(), runs, strict=True)]
+                    items = [a + b for a, b in zip(batch["__hit_items"].to_pylist(), items, strict=True)]
+                    batch = batch.drop_columns(["n_words", "__hit_runs", "__hit_items"])
+                yield appended(batch, n_words=pa.array(n_words, pa.int64()), __hit_runs=pa.array(runs, runs_type), __hit_items=pa.array(items, items_type))
 
         return run
 
-    schema = _ddl(docs) + ["n_words long", "hit_runs array<long>", "hit_items array<string>"]
+    schema = _ddl(docs) + ["n_words long", "__hit_runs array<long>", "__hit_items array<string>"]
     for k, items in enumerate(groups):
         built = spark.sparkContext.broadcast(automaton(items, window))
         out = out.mapInArrow(passed(built, k == 0), ", ".join(schema))
@@ -134,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits, counts, digests, spans = [], [], [], []
-            for text, flat, items in zip(as_bytes(batch[text_col]), batch["hit_runs"].to_pylist(), batch["hit_items"].to_pylist(), strict=True):
+            for text, flat, items in zip(as_bytes(batch[text_col]), batch["__hit_runs"].to_pylist(), batch["__hit_items"].to_pylist(), strict=True):
                 runs = merged(np.array(flat, np.int64).reshape(-1, 2)) if flat else np.empty((0, 2), np.int64)
                 own = sorted(set(items))
                 hits.append(int((runs[:, 1] - runs[:, 0]).sum()))
@@ -142,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 digests.append(hashlib.sha256(",".join(own).encode()).hexdigest())
                 spans.append(original_spans(text, runs) if len(runs) else [])
             yield appended(
-                batch.drop_columns(["hit_runs", "hit_items"]),
+                batch.drop_columns(["__hit_runs", "__hit_items"]),
                 n_hit=pa.array(hits, pa.int64()),
                 n_items=pa.array(counts, pa.int64()),
                 items_sha256=pa.array(digests),

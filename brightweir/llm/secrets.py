@@ -114,7 +114,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, n_entropy, base_sha256 and spans; docs must not have columns of these names."""
+    """docs with n_assign, n_access, n_hex, n_entropy, base_sha256 and spans; columns of these names are replaced."""
+    docs = docs.drop(*(f"n_{k}" for k in KINDS), "base_sha256", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(allowed)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN_WORD = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _OTHER = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ff}]|<\|"
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 
 class WordEncoder:
