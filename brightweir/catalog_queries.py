@@ -78,38 +78,44 @@ closure AS (SELECT code, code AS ancestor, 0 AS distance FROM nodes
 
 @_query(f"WITH RECURSIVE {_TREE} SELECT code, ancestor, distance FROM closure")
 def region_closure(spark, d):
-    return verdict.closure(_tree(spark, d), 3)
+    return verdict.closure(_tree(spark, d))
 
 
 @_query(f"""WITH RECURSIVE {_TREE},
 policies AS (SELECT c_custkey AS policy, CASE WHEN c_custkey % 11 = 0 THEN 'nationwide' WHEN c_custkey % 7 = 0 THEN NULL ELSE 'regional' END AS scope, c_nationkey FROM customer),
-rules AS (SELECT policy, CASE WHEN policy % 5 = 0 THEN 'exclude' ELSE 'include' END AS relation, 'n' || c_nationkey AS code FROM policies WHERE policy % 13 <> 0
-  UNION ALL SELECT policy, 'include', 'r' || (c_nationkey % 5) FROM policies WHERE policy % 3 = 0),
-per AS (SELECT policy, count(*) FILTER (WHERE relation = 'exclude' AND p.distance IS NOT NULL) AS shut, min(p.distance) FILTER (WHERE relation = 'include') AS near,
-  min(b.distance) FILTER (WHERE relation = 'include') AS deep, count(*) FILTER (WHERE relation = 'include') AS includes
+rules AS (SELECT policy, CASE WHEN policy % 5 = 0 THEN 'exclude' ELSE 'include' END AS relation, 'n' || c_nationkey AS code, policy % 17 <> 0 AS good, policy % 2 = 0 AS near_by FROM policies WHERE policy % 13 <> 0
+  UNION ALL SELECT policy, 'include', 'r' || (c_nationkey % 5), policy % 19 <> 0, true FROM policies WHERE policy % 3 = 0),
+per AS (SELECT policy, count(*) FILTER (WHERE good AND relation = 'exclude' AND p.distance IS NOT NULL) AS shut, min(p.distance) FILTER (WHERE good AND relation = 'include') AS near,
+  min(b.distance) FILTER (WHERE good AND relation = 'include') AS deep, count(*) FILTER (WHERE good AND relation = 'include') AS includes, count(*) FILTER (WHERE NOT good AND near_by) AS lost
   FROM rules LEFT JOIN (SELECT ancestor, distance FROM closure WHERE code = 'r2') p ON p.ancestor = rules.code
   LEFT JOIN (SELECT code, distance FROM closure WHERE ancestor = 'r2' AND distance > 0) b ON b.code = rules.code GROUP BY policy),
 v AS (SELECT policies.policy, CASE WHEN scope = 'nationwide' THEN 'match/nationwide' WHEN scope IS NULL THEN 'unknown/policy_unknown' WHEN shut > 0 THEN 'mismatch/exclude'
   WHEN near = 0 THEN 'match/exact' WHEN near > 0 THEN 'match/ancestor' WHEN deep > 0 THEN 'match/descendant'
-  WHEN coalesce(includes, 0) = 0 THEN 'unknown/unresolved_rule' ELSE 'mismatch/other_region' END AS k FROM policies LEFT JOIN per USING (policy))
-SELECT policy, split_part(k, '/', 1) AS verdict, split_part(k, '/', 2) AS reason FROM v""")
+  WHEN coalesce(includes, 0) = 0 OR lost > 0 THEN 'unknown/unresolved_rule' ELSE 'mismatch/other_region' END AS k FROM policies LEFT JOIN per USING (policy))
+SELECT policy, split_part(k, '/', 1) AS verdict, split_part(k, '/', 2) AS reason, CASE WHEN scope = 'nationwide' THEN 'match' ELSE 'unknown' END AS lost FROM v JOIN policies USING (policy)""")
 def region_verdict(spark, d):
+    """Rules with and without a resolved, active region for a region that is there, and the verdict for one that isn't."""
     c = table(spark, d, "customer").withColumn("policy", F.col("c_custkey"))
     scope = F.when(F.col("policy") % 11 == 0, "nationwide").when(F.col("policy") % 7 == 0, F.lit(None)).otherwise("regional")
-    own = c.where("policy % 13 <> 0").select("policy", F.when(F.col("policy") % 5 == 0, "exclude").otherwise("include").alias("relation"), F.concat(F.lit("n"), "c_nationkey").alias("code"))
-    wide = c.where("policy % 3 = 0").select("policy", F.lit("include").alias("relation"), F.concat(F.lit("r"), F.col("c_nationkey") % 5).alias("code"))
-    return verdict.region(c.select("policy", scope.alias("scope")), own.unionByName(wide), verdict.closure(_tree(spark, d), 3), "r2")
+    p = F.col("policy")
+    own = c.where("policy % 13 <> 0").select("policy", F.when(p % 5 == 0, "exclude").otherwise("include").alias("relation"), F.concat(F.lit("n"), "c_nationkey").alias("code"), F.when(p % 34 == 0, "unmapped").otherwise("matched").alias("resolution"), F.when(p % 17 == 0, "retired").otherwise("active").alias("region_status"), F.when(p % 2 == 0, "r2").otherwise("r9").alias("province"))
+    wide = c.where("policy % 3 = 0").select("policy", F.lit("include").alias("relation"), F.concat(F.lit("r"), F.col("c_nationkey") % 5).alias("code"), F.when(p % 19 == 0, "ambiguous").otherwise("matched").alias("resolution"), F.lit("active").alias("region_status"), F.lit(None).cast("string").alias("province"))
+    rules, tree, base = own.unionByName(wide), verdict.closure(_tree(spark, d)), c.select("policy", scope.alias("scope"))
+    lost = verdict.region(base, rules, tree, "nowhere").select("policy", F.col("verdict").alias("lost"))
+    return verdict.region(base, rules, tree, "r2", province="r2").join(lost, "policy")
 
 
-@_query("""WITH b AS (SELECT p_partkey, CAST(substr(p_brand, length(p_brand), 1) AS INTEGER) AS k, p_size FROM part),
-r AS (SELECT p_partkey, k, p_size, CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN 0 ELSE k * 5 END AS low, CASE WHEN k IN (1, 3) THEN NULL WHEN k = 2 THEN 0 ELSE k * 10 END AS high FROM b)
-SELECT p_partkey, CASE WHEN low = 0 AND high = 0 THEN 'match' WHEN low IS NULL AND high IS NULL THEN 'unknown' WHEN p_size < low OR p_size > high THEN 'mismatch' ELSE 'match' END AS verdict FROM r""")
+@_query("""WITH b AS (SELECT p_partkey, CAST(substr(p_brand, length(p_brand), 1) AS INTEGER) AS k, p_size, p_partkey % 3 = 0 AS unlimited FROM part),
+r AS (SELECT p_partkey, k, p_size, unlimited, CASE WHEN k IN (0, 1, 2) THEN NULL ELSE k * 5 END AS low, CASE WHEN k IN (0, 1, 2, 3) THEN NULL ELSE k * 10 END AS high FROM b)
+SELECT p_partkey, CASE WHEN p_size < low OR p_size > high THEN 'mismatch' WHEN low IS NOT NULL OR high IS NOT NULL THEN 'match' WHEN unlimited THEN 'match' ELSE 'unknown' END AS verdict FROM r""")
 def three_valued_age(spark, d):
+    """Bounds of all kinds; 0 to 0 (k = 0 and 2) counts as none, and a text that names no limit as a match."""
     k = F.substring("p_brand", -1, 1).cast("int")
     low = F.when(k == 1, F.lit(None)).when(k == 2, 0).otherwise(k * 5)
     high = F.when(k.isin(1, 3), F.lit(None)).when(k == 2, 0).otherwise(k * 10)
-    rows = table(spark, d, "part").select("p_partkey", "p_size", low.alias("low"), high.alias("high"))
-    return rows.select("p_partkey", verdict.age(F.col("p_size"), F.col("low"), F.col("high")).alias("verdict"))
+    said = F.when(F.col("p_partkey") % 3 == 0, "연령  제한 없음").when(F.col("p_partkey") % 3 == 1, "만 19세")
+    rows = table(spark, d, "part").select("p_partkey", "p_size", low.alias("low"), high.alias("high"), said.alias("said"))
+    return rows.select("p_partkey", verdict.age(F.col("p_size"), F.col("low"), F.col("high"), F.col("said")).alias("verdict"))
 
 
 @_query("""SELECT o_orderkey, CASE WHEN s IS NULL THEN 'unknown' WHEN s = 'open' THEN 'match' ELSE 'mismatch' END AS status,
@@ -123,7 +129,7 @@ def three_valued_status_category(spark, d):
 
 @_query("""SELECT doc_id FROM documents WHERE (coalesce(text ILIKE '%the%', false) OR coalesce(source ILIKE '%the%', false)) AND (coalesce(text ILIKE '%of%', false) OR coalesce(source ILIKE '%of%', false))""")
 def text_candidates(spark, d):
-    return search.candidates(table(spark, d, "documents"), ["text", "source"], ["the", "support", "of"]).select("doc_id")
+    return search.candidates(table(spark, d, "documents"), ["text", "source"], ["the", "지원", "of"]).select("doc_id")
 
 
 def _hit_sql(field: str) -> str:
@@ -143,18 +149,18 @@ def text_score_rank(spark, d):
 
 
 @_query("""WITH v AS (SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'match' WHEN p_type LIKE '%TIN%' THEN 'mismatch' ELSE 'unknown' END AS c,
-  CASE WHEN p_partkey % 4 = 0 THEN 'match' WHEN p_partkey % 4 = 1 THEN 'mismatch' ELSE 'unknown' END AS r, CASE WHEN p_size < 5 THEN 'mismatch' ELSE 'match' END AS a, p_partkey % 2 = 0 AS o FROM part),
-s AS (SELECT p_partkey, CAST((c = 'match')::INT * 30 + (r = 'match')::INT * 30 + (a = 'match')::INT * 30 + o::INT * 10 AS BIGINT) AS score,
-  concat_ws(',', CASE c WHEN 'match' THEN 'category' WHEN 'unknown' THEN 'category?' END, CASE r WHEN 'match' THEN 'region' WHEN 'unknown' THEN 'region?' END, CASE a WHEN 'match' THEN 'age' END, CASE WHEN o THEN 'open' END) AS reasons
-  FROM v WHERE c <> 'mismatch' AND r <> 'mismatch' AND a <> 'mismatch')
+  CASE WHEN p_partkey % 4 = 0 THEN 'match' WHEN p_partkey % 4 = 1 THEN 'mismatch' ELSE 'unknown' END AS r, CASE WHEN p_size < 5 THEN 'mismatch' ELSE 'match' END AS a, p_partkey % 5 AS s FROM part),
+s AS (SELECT p_partkey, CAST((c = 'match')::INT * 30 + (r = 'match')::INT * 30 + (a = 'match')::INT * 30 + (s < 2)::INT * 10 AS BIGINT) AS score,
+  concat_ws(',', CASE c WHEN 'match' THEN 'category' WHEN 'unknown' THEN 'category?' END, CASE r WHEN 'match' THEN 'region' WHEN 'unknown' THEN 'region?' END, CASE a WHEN 'match' THEN 'age' END, CASE WHEN s < 2 THEN 'open' END) AS reasons
+  FROM v WHERE c <> 'mismatch' AND r <> 'mismatch' AND a <> 'mismatch' AND s <> 2)
 SELECT *, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM s QUALIFY rank <= 50""")
 def recommend_topk(spark, d):
-    """Additive scores with exclusions and the fifty best (a top-k report)."""
-    p = table(spark, d, "part")
+    """Additive scores with exclusions and the fifty best (a top-k report); closed ones are left out, those without a status stay."""
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 5
     c = F.when(F.col("p_type").contains("STEEL"), "match").when(F.col("p_type").contains("TIN"), "mismatch").otherwise("unknown")
     r = F.when(F.col("p_partkey") % 4 == 0, "match").when(F.col("p_partkey") % 4 == 1, "mismatch").otherwise("unknown")
     a = F.when(F.col("p_size") < 5, "mismatch").otherwise("match")
-    gone, score, reasons = search.recommendation(c, r, a, F.col("p_partkey") % 2 == 0)
+    gone, score, reasons = search.recommendation(c, r, a, F.when(k < 2, "open").when(k == 2, "closed").when(k == 3, "scheduled"))
     return search.ranked(p.where(~gone).select("p_partkey", score.alias("score"), reasons.alias("reasons")), [F.col("score").desc(), F.col("p_partkey")], top=50)
 
 
@@ -335,7 +341,7 @@ def month_grid(spark, d):
 
 @_query("SELECT user_id, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 12 + 1 AS BIGINT) AS page FROM events")
 def page_of_position(spark, d):
-    placed = audit.first_of_each(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 1 << 60)
+    placed = audit.first_of_each(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], None)
     return placed.select("user_id", "event_id", (F.floor((F.col("place") - 1) / 12) + 1).alias("page"))
 
 

@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and words of the source texts.
-DATE = r"(?<!\d)(?:\d{4}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{1,2}|\d{8})(?!\d)"
-MONTHS = r"(?<!\d)(\d{4})\s*[.\-/년]\s*(\d{1,2})(?:월|\.)?\s*~\s*(?:(\d{4})\s*[.\-/년]\s*)?(\d{1,2})(?:월|\.)?(?!\d)"
-NUMBER = r"(?<!\d)\d{1,3}(?!\d)"
-RANGE = r"~|～|이상.*이하"
+# Words of the source texts.
 ALWAYS, CLOSED, BUDGET, SPENT, FIXED, UNTIL = "상시", "마감", "예산", "소진", "특정기간", "까지"
 NO_LIMIT, AT_LEAST, AT_MOST = "제한 없음", "이상", "이하"
+YEAR, MONTH, DAY = "년", "월", "일"
+
+# Formats of a day: 2026.1.5, 2026-01-05, 2026/1/5 with blanks, or eight digits in a row; in some sources 2026년 1월 5일 as well.
+_DAY_TOKEN = r"(?<!\d)(?:\d{4}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{1,2}|\d{8})(?!\d)"
+_DAY_TOKEN_IN_WORDS = rf"(?<!\d)(?:\d{{4}}\s*[{YEAR}./-]\s*\d{{1,2}}\s*[{MONTH}./-]\s*\d{{1,2}}|\d{{8}})(?!\d)"
+# Formats of a range of months: 2025년 12월 ~ 2026년 2월, 2026.1~3.
+_YEAR_OF = rf"\d{{4}}\s*[{YEAR}./-]\s*"
+_MONTH_TOKEN = rf"(?<!\d)({_YEAR_OF}\d{{1,2}})[{MONTH}.]?\s*~\s*((?:{_YEAR_OF})?\d{{1,2}})[{MONTH}.]?(?!\d)"
+_AGE_NUMBER = r"(?<!\d)\d{1,3}(?!\d)"
 
 PERIOD = "struct<start: date, end: date, schedule: string, status: string, issue: string>"
 AGE = "struct<low: int, high: int, issue: string>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often it is used: the optimizer does not copy a lambda's argument."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _date(token: Column) -> Column:
     """Null if there is no such day."""
     parts = F.regexp_extract_all(token, F.lit(r"\d+"), F.lit(0))
-    flat = F.element_at(parts, 1)
-    ymd = F.when(F.size(parts) == 3, F.concat_ws("-", parts[0], F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(2)), 2, "0"))).otherwise(
-        F.concat_ws("-", F.substring(flat, 1, 4), F.substring(flat, 5, 2), F.substring(flat, 7, 2))
-    )
-    return ymd.try_cast("date")
+    pad = lambda i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
+    flat = F.regexp_replace(token, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.when(F.size(parts) == 3, F.concat_ws("-", parts[0], pad(1), pad(2))).otherwise(flat).try_cast("date")
+
+
+def days(text: Column, in_words: bool = False) -> Column:
+    """The days that a text names, in order; null for those that don't exist."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_DAY_TOKEN_IN_WORDS if in_words else _DAY_TOKEN), F.lit(0)), _date)
+
+
+def months(text: Column) -> Column:
+    """struct<given: boolean, start: date, end: date> of the first range of months: first day to last day."""
+    numbers = lambda k: F.regexp_extract_all(F.regexp_extract(text, _MONTH_TOKEN, k), F.lit(r"\d+"), F.lit(0))
+
+    def made(a: Column, b: Column) -> Column:
+        first = lambda y, m: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lit("01")).try_cast("date")
+        year = F.get(a, F.lit(0))
+        start = first(year, F.get(a, F.lit(1)))
+        end = F.last_day(F.when(F.size(b) == 2, first(F.get(b, F.lit(0)), F.get(b, F.lit(1)))).otherwise(first(year, F.get(b, F.lit(0)))))
+        return F.struct((F.size(a) > 0).alias("given"), start.alias("start"), end.alias("end"))
+
+    return once(F.struct(numbers(1).alias("a"), numbers(2).alias("b")), lambda x: made(x["a"], x["b"]))
 
 
 def _row(kind: str, **values: Column | str | None) -> Column:
@@ -40,43 +69,49 @@ def _bounded(start: Column, end: Column, as_of: Column, issue: Column | None = N
 def period(text: Column, as_of: Column) -> Column:
     """start, end, schedule, status and issue of an application period; words that settle it come before dates, days before
     months. A lone day is the start unless the text says until. Null text gives nulls."""
-    days = F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), _date)
-    first, second, n = F.get(days, F.lit(0)), F.get(days, F.lit(1)), F.size(days)
-    part = lambda k: F.regexp_extract(text, MONTHS, k)
-    month = lambda y, m: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lit("01")).try_cast("date")
-    month_start, month_end = month(part(1), part(2)), F.last_day(month(F.coalesce(F.nullif(part(3), F.lit("")), part(1)), part(4)))
-    return (
-        F.when(text.isNull(), _row(PERIOD))
-        .when(text.contains(ALWAYS), _row(PERIOD, schedule="always", status="open"))
-        .when(text.contains(CLOSED), _row(PERIOD, status="closed"))
-        .when(text.contains(BUDGET) & text.contains(SPENT), _row(PERIOD, schedule="until_budget_exhausted"))
-        .when(text == FIXED, _row(PERIOD, schedule="fixed_period"))
-        .when(F.exists(days, lambda x: x.isNull()), _row(PERIOD, issue="invalid_application_date"))
-        .when(n >= 2, _bounded(first, second, as_of, F.when(n > 2, "extra_application_dates")))
-        .when((n == 1) & text.contains(UNTIL), _row(PERIOD, end=first, schedule="fixed_period", status=F.when(as_of > first, "closed").otherwise("open")))
-        .when(n == 1, _row(PERIOD, start=first, schedule="fixed_period", status=F.when(as_of < first, "scheduled")))
-        .when(~text.rlike(MONTHS), _row(PERIOD, issue="unparsed_application_period"))
-        .when(month_start.isNull() | month_end.isNull(), _row(PERIOD, issue="invalid_application_date"))
-        .otherwise(_bounded(month_start, month_end, as_of))
-    )
+
+    def settled(found: Column, m: Column) -> Column:
+        first, second, n = F.get(found, F.lit(0)), F.get(found, F.lit(1)), F.size(found)
+        return (
+            F.when(text.isNull(), _row(PERIOD))
+            .when(text.contains(ALWAYS), _row(PERIOD, schedule="always", status="open"))
+            .when(text.contains(CLOSED), _row(PERIOD, status="closed"))
+            .when(text.contains(BUDGET) & text.contains(SPENT), _row(PERIOD, schedule="until_budget_exhausted"))
+            .when(text == FIXED, _row(PERIOD, schedule="fixed_period"))
+            .when(F.exists(found, lambda x: x.isNull()), _row(PERIOD, issue="invalid_application_date"))
+            .when(n >= 2, _bounded(first, second, as_of, F.when(n > 2, "extra_application_dates")))
+            .when((n == 1) & text.contains(UNTIL), _row(PERIOD, end=first, schedule="fixed_period", status=F.when(as_of > first, "closed").otherwise("open")))
+            .when(n == 1, _row(PERIOD, start=first, schedule="fixed_period", status=F.when(as_of < first, "scheduled")))
+            .when(~m["given"], _row(PERIOD, issue="unparsed_application_period"))
+            .when(m["start"].isNull() | m["end"].isNull(), _row(PERIOD, issue="invalid_application_date"))
+            .otherwise(_bounded(m["start"], m["end"], as_of))
+        )
+
+    # What is returned is again an array's element, so that reading several of its fields does not repeat the work.
+    return once(F.struct(days(text).alias("d"), months(text).alias("m")), lambda x: settled(x["d"], x["m"]))
 
 
 def age_limits(text: Column, zeros_are_blank: bool = False) -> Column:
     """low, high and issue of an age condition; null text and texts that say no limit have neither."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("int"))
-    first, second, n = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), F.size(numbers)
-    ranged = (n >= 2) & text.rlike(RANGE)
-    low = F.when(ranged | ((n == 1) & text.contains(AT_LEAST)), first)
-    high = F.when(ranged, second).when((n == 1) & ~text.contains(AT_LEAST) & text.contains(AT_MOST), first)
-    blank = (low == 0) & (high == 0) if zeros_are_blank else F.lit(False)
-    wrong = (low > 150) | (high > 150) | (low > high)
-    return (
-        F.when(text.isNull() | text.contains(NO_LIMIT), _row(AGE))
-        .when(low.isNull() & high.isNull(), _row(AGE, issue=F.when(n > 0, "unparsed_age_condition")))
-        .when(blank, _row(AGE, issue="placeholder_age_range"))
-        .when(wrong, _row(AGE, issue="invalid_age_range"))
-        .otherwise(_row(AGE, low=low, high=high))
-    )
+    found = F.transform(F.regexp_extract_all(text, F.lit(_AGE_NUMBER), F.lit(0)), lambda x: x.cast("int"))
+
+    def settled(numbers: Column) -> Column:
+        first, second, n = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), F.size(numbers)
+        between = text.contains("~") | text.contains("～") | text.rlike(f"{AT_LEAST}.*{AT_MOST}")
+        ranged = (n >= 2) & between
+        low = F.when(ranged | ((n == 1) & text.contains(AT_LEAST)), first)
+        high = F.when(ranged, second).when((n == 1) & ~text.contains(AT_LEAST) & text.contains(AT_MOST), first)
+        blank = (low == 0) & (high == 0) if zeros_are_blank else F.lit(False)
+        wrong = (low > 150) | (high > 150) | (low > high)
+        return (
+            F.when(text.isNull() | text.contains(NO_LIMIT), _row(AGE))
+            .when(low.isNull() & high.isNull(), _row(AGE, issue=F.when(n > 0, "unparsed_age_condition")))
+            .when(blank, _row(AGE, issue="placeholder_age_range"))
+            .when(wrong, _row(AGE, issue="invalid_age_range"))
+            .otherwise(_row(AGE, low=low, high=high))
+        )
+
+    return once(found, settled)
 
 
 def asked_age(text: Column) -> Column:
@@ -92,3 +127,19 @@ def keyword(text: Column, words: dict[str, str]) -> Column:
     for word, value in reversed(words.items()):
         out = F.when(text.contains(word), value).otherwise(out)
     return out
+
+
+# Words that name a status or a category in a question, in the order in which they are tried.
+STATUS_WORDS = {w: s for s, ws in {
+    "open": ("모집중", "신청중", "접수중", "진행중", "모집 중", "신청 중", "접수 중", "진행 중"),
+    "scheduled": ("예정", "모집예정", "신청예정", "모집 예정", "신청 예정"),
+    "closed": ("마감", "종료", "신청마감", "마감됨"),
+}.items() for w in ws}
+CATEGORY_WORDS = {w: c for c, ws in {
+    "housing": ("단기숙소", "주거", "월세", "전세", "주택", "청년주택", "보증금", "집"),
+    "finance": ("금융", "대출", "적금", "자산", "통장", "금리", "목돈", "저축"),
+    "welfare": ("복지", "의료", "건강", "수당", "지원금", "생계비"),
+    "employment": ("취업", "일자리", "구직", "인턴", "채용", "취업준비", "구직활동"),
+    "startup": ("창업", "스타트업", "사업자"),
+    "education": ("교육", "장학금", "등록금", "학비", "역량강화"),
+}.items() for w in ws}

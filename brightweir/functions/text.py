@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,38 +41,27 @@ def compatible(c: ColumnOrName) -> Column:
     return _arrow(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()) or None, c)
 
 
+def compatible_all(values: Column) -> Column:
+    """``compatible`` of each string of an array, without those of which nothing is left."""
+    each = _arrow(lambda t: "\x1f".join(x for v in t.split("\x1f") if (x := " ".join(unicodedata.normalize("NFKC", v).split()))), F.array_join(values, "\x1f"))
+    return F.when(F.size(values) > 0, F.filter(F.split(each, "\x1f"), lambda x: x != "")).otherwise(values)
+
+
 def comparable(c: ColumnOrName) -> Column:
     """NFKC, case folded, letters and digits only."""
     return _arrow(lambda t: "".join(x for x in unicodedata.normalize("NFKC", t).casefold() if x.isalnum()), c)
 
 
-class _Visible(HTMLParser):
-    BLOCKS = frozenset("address article br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p section table td th tr ul".split())
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-        if tag in self.BLOCKS:
-            self.parts.append(" ")
-
-    def handle_endtag(self, tag):
-        self.hidden -= tag in ("script", "style") and self.hidden > 0
-        if tag in self.BLOCKS:
-            self.parts.append(" ")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+# Tags that end a line of visible text, and those whose content is never seen.
+BREAKING = frozenset({"br", "div", "li", "p", "section", "table", "td", "th", "tr"})
+UNSEEN = "script|style"
+_TOKEN = re.compile(rf"<({UNSEEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>|</?([a-z][a-z0-9]*)\b[^>]*>", re.I | re.S)
 
 
 def visible(html: str) -> str | None:
-    p = _Visible()
-    p.feed(html)
-    p.close()
-    return " ".join("".join(p.parts).split()) or None
+    """One pass over the tags: breaking ones become a space, the others go, and what is left has its entities decoded."""
+    shown = _TOKEN.sub(lambda m: " " if m[2] and m[2].lower() in BREAKING else "", html)
+    return " ".join(unescape(shown).split()) or None
 
 
 def visible_text(c: ColumnOrName) -> Column:
@@ -88,8 +78,19 @@ def canonical_url(url: Column, drop_prefix: str = "utm_") -> Column:
     return F.concat(head, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def folded_value(t: str) -> str:
+    """NFKC, white space as single spaces, case folded."""
+    return " ".join((t if unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)).split()).casefold()
+
+
+def folded(c: Column) -> Column:
+    """``folded_value`` of a column; null counts as empty. Values of ASCII alone don't leave the JVM."""
+    other = _arrow(folded_value, F.when(c.rlike(r"[^\x00-\x7F]"), c))
+    return F.coalesce(other, F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit(""))
+
+
 def term_hits(field: Column, terms: list[str]) -> Column:
-    """Terms that the field contains, as they are or with spaces taken out of both."""
-    low = F.lower(F.coalesce(field, F.lit("")))
-    bare = F.replace(low, F.lit(" "), F.lit(""))
-    return F.array_compact(F.array(*[F.when(low.contains(t.lower()) | bare.contains(t.lower().replace(" ", "")), F.lit(t)) for t in terms]))
+    """Terms that the field (from ``folded``) contains, as they are or with spaces taken out of both."""
+    bare = F.replace(field, F.lit(" "), F.lit(""))
+    own = list(dict.fromkeys(x for t in terms if (x := folded_value(t))))
+    return F.array_compact(F.array(*[F.when(field.contains(x) | bare.contains(x.replace(" ", "")), F.lit(x)) for x in own]))

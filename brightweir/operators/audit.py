@@ -28,9 +28,11 @@ def field_profile(df: DataFrame, fields: list[str]) -> DataFrame:
     return one.select("all", rows.alias("r")).select("r.*", (F.col("r.present") / F.col("all")).alias("presence_rate"))
 
 
-def first_of_each(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each group, with their place from 1; Spark prunes groups before the shuffle."""
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:
+    """The first n rows of each group (None: all of them) with their place from 1; Spark prunes groups before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if n is None:
+        return df.withColumn("place", place.cast("long"))
     return df.withColumn("place", place).where(F.col("place") <= n).withColumn("place", F.col("place").cast("long"))
 
 
@@ -46,3 +48,34 @@ def totals(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
     """A row for each key and one for all of them, under 'total'."""
     out = df.rollup(key).agg(F.grouping(key).alias("g"), *[c.alias(n) for n, c in aggs.items()])
     return out.select(F.when(F.col("g") == 1, "total").otherwise(F.col(key)).alias("key"), *aggs)
+
+
+def bounds_histogram(df: DataFrame, low: str, high: str) -> DataFrame:
+    """One row: how many rows have both bounds, one, or none."""
+    a, b = F.col(low).isNotNull(), F.col(high).isNotNull()
+    return df.agg(F.count_if(a & b).alias("both_bounds"), F.count_if(a != b).alias("one_bound"), F.count_if(~a & ~b).alias("no_bounds"))
+
+
+def term_counts(df: DataFrame, col: str, terms: list[str], visible: Column) -> DataFrame:
+    """(term, hits, visible): rows that contain each term, in all and of the visible ones; one pass."""
+    low = F.lower(F.coalesce(F.col(col), F.lit("")))
+    one = df.agg(*[F.count_if(low.contains(t.lower())).alias(f"a{i}") for i, t in enumerate(terms)], *[F.count_if(low.contains(t.lower()) & visible).alias(f"b{i}") for i, t in enumerate(terms)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"a{i}").alias("hits"), F.col(f"b{i}").alias("visible")) for i, t in enumerate(terms)])).alias("r")).select("r.*")
+
+
+def combinations(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
+    """(combination, n): rows by the sorted names of the reasons that hold, joined by a plus."""
+    held = F.array_compact(F.array(*[F.when(reasons[n], n) for n in sorted(reasons)]))
+    return df.groupBy(F.array_join(held, "+").alias("combination")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pivoted(df: DataFrame, key: str, value: str, kinds: tuple[str, ...]) -> DataFrame:
+    """A row a key with the count of each kind, and of all rows."""
+    return df.groupBy(key).agg(*[F.count_if(F.col(value) == k).alias(k) for k in kinds], F.count(F.lit(1)).alias("total"))
+
+
+def split_by_reason(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that are kept, rows that are dropped with the first reason that holds, in the order given)."""
+    first = F.coalesce(*[F.when(c, n) for n, c in reasons.items()])
+    rows = df.withColumn("reason", first)
+    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.operators.audit import first_of_each
+from brightweir.session import cut
 
 
 def tree_faults(nodes: DataFrame) -> DataFrame:
@@ -19,6 +20,27 @@ def tree_faults(nodes: DataFrame) -> DataFrame:
     return twice.unionByName(own).unionByName(lost).unionByName(roots)
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """edges (code, parent): codes that reach themselves. Codes without children or without parents are peeled off until none is left
+    to peel; what stays lies on a cycle or between two, and is followed up to itself."""
+    left = cut(edges.select("code", "parent").distinct())
+    n = left.count()
+    while n:
+        ends = left.select(F.col("code").alias("parent")).distinct()
+        starts = left.select(F.col("parent").alias("code")).distinct()
+        left = cut(left.join(ends, "parent", "left_semi").join(starts, "code", "left_semi").select("code", "parent"))
+        n, before = left.count(), n
+        if n == before:
+            break
+    reach = cut(left.select("code", F.col("parent").alias("up")))
+    size = reach.count()
+    while True:
+        more = cut(reach.unionByName(reach.join(left.select(F.col("code").alias("up"), "parent"), "up").select("code", F.col("parent").alias("up"))).distinct())
+        if more.count() == size:
+            return more.where("code = up").select("code")
+        reach, size = more, more.count()
+
+
 def status_view(catalog: DataFrame, facts: DataFrame, runs: DataFrame, key: str, order: list[Column], is_active: Column) -> DataFrame:
     """catalog with n (facts of the key, 0 for none), and the latest and the latest active run's id; runs has (key, run)."""
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

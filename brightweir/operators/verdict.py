@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightweir.session import cut
 
-def age(value: Column, low: Column, high: Column, unlimited: Column | None = None) -> Column:
-    """Bounds 0 and 0 are a placeholder for none; without bounds the answer is unknown unless stated as unlimited."""
-    blank = (low == 0) & (high == 0)
-    low, high = F.when(~F.coalesce(blank, F.lit(False)), low), F.when(~F.coalesce(blank, F.lit(False)), high)
-    verdict = F.when(value.isNull(), F.lit(None).cast("string")).when(F.coalesce(blank, F.lit(False)), "match")
-    if unlimited is not None:
-        verdict = verdict.when(unlimited, "match")
-    return verdict.when(low.isNull() & high.isNull(), "unknown").when((value < low) | (value > high), "mismatch").otherwise("match")
+#: Fixed value: what an age condition without a limit says.
+NO_LIMIT = "제한 없음"
+
+
+def age(value: Column, low: Column, high: Column, text: Column | None = None) -> Column:
+    """Bounds 0 and 0 are a placeholder for none; without bounds the answer is unknown unless the text says there is no limit."""
+    blank = F.coalesce((low == 0) & (high == 0), F.lit(False))
+    low, high = F.when(~blank, low), F.when(~blank, high)
+    verdict = F.when(value.isNull(), F.lit(None).cast("string")).when((value < low) | (value > high), "mismatch").when(low.isNotNull() | high.isNotNull(), "match")
+    if text is not None:
+        verdict = verdict.when(F.regexp_replace(text, r"(?U)\s+", " ").contains(NO_LIMIT), "match")
+    return verdict.otherwise("unknown")
 
 
 def status(have: Column, want: str | None) -> Column:
@@ -29,41 +34,66 @@ def category(have: Column, want: str | None) -> Column:
     return F.when(F.coalesce(F.size(have), F.lit(0)) <= 0, "unknown").when(F.array_contains(have, want), "match").otherwise("mismatch")
 
 
-def closure(nodes: DataFrame, deepest: int = 6) -> DataFrame:
-    """nodes (code, parent): (code, ancestor, distance), distance 0 included; a cycle is an error.
+def edges(nodes: DataFrame) -> DataFrame:
+    """nodes (code, parent, aggregate_parent): (code, parent), a row for each of the two pointers that is set."""
+    return nodes.select("code", F.explode(F.array_compact(F.array_distinct(F.array("parent", "aggregate_parent")))).alias("parent"))
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """nodes (code, parent): (code, ancestor, distance), distance 0 included, to whatever depth the tree has.
 
-    A join a level over a small dimension; the plan has no driver loop over rows."""
-    level = nodes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance"))
-    up = nodes.select(F.col("code").alias("ancestor"), "parent")
-    found = level
-    for d in range(1, deepest + 1):
-        level = level.join(up, "ancestor").where("parent IS NOT NULL").select("code", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
+    A join a level, until a level has no rows; a code that meets itself on the way is an error. With a column
+    aggregate_parent, that pointer is preferred."""
+    parent = F.coalesce("aggregate_parent", "parent") if "aggregate_parent" in nodes.columns else F.col("parent")
+    up = cut(nodes.select(F.col("code").alias("ancestor"), parent.alias("parent")).where("parent IS NOT NULL"))
+    found = level = nodes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance"))
+    for d in range(1, 1 << 30):
+        level = cut(level.join(up, "ancestor").select("code", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")))
+        some, loops = level.agg(F.count(F.lit(1)), F.count_if(F.col("code") == F.col("ancestor"))).first()
+        if loops:
+            raise ValueError("the tree has a cycle")
+        if not some:
+            return found
         found = found.unionByName(level)
-    return found
 
 
-def region(policies: DataFrame, rules: DataFrame, tree: DataFrame, query: str) -> DataFrame:
-    """policies (policy, scope), rules (policy, relation, code), tree from ``closure``: (policy, verdict, reason).
+def region(policies: DataFrame, rules: DataFrame, tree: DataFrame, query: str | None, state: str = "matched", province: str | None = None) -> DataFrame:
+    """(policy, verdict, reason) for the region with code ``query``; state: matched, unmapped or ambiguous.
 
-    Nationwide matches; exclusion on the query's path beats inclusion; a rule on the path is exact or an ancestor, one
-    below it a descendant; without a rule that says anything the answer is unknown."""
+    policies (policy, scope: nationwide, regional, unknown or null), rules (policy, relation, code, and where they are
+    there resolution, region_status, province), tree from ``closure``. Nationwide matches whatever was asked; exclusion on
+    the query's path beats inclusion; an include on the path is exact or an ancestor, one below it a descendant. Rules that
+    aren't resolved to an active region leave the answer unknown unless they are known to be of another province."""
     path = tree.where(F.col("code") == query).select(F.col("ancestor").alias("code"), F.col("distance").alias("above"))
+    if state == "matched" and (query is None or path.isEmpty()):
+        state = "unmapped"
     below = tree.where((F.col("ancestor") == query) & (F.col("distance") > 0)).select("code", F.col("distance").alias("under"))
-    placed = rules.join(F.broadcast(path), "code", "left").join(F.broadcast(below), "code", "left")  # a path and one subtree
-    per = placed.groupBy("policy").agg(
-        F.count_if((F.col("relation") == "exclude") & F.col("above").isNotNull()).alias("shut"),
-        F.min(F.when(F.col("relation") == "include", F.col("above"))).alias("near"),
-        F.min(F.when(F.col("relation") == "include", F.col("under"))).alias("deep"),
-        F.count_if(F.col("relation") == "include").alias("includes"),
+    default = {"resolution": "matched", "region_status": "active", "province": None}
+    rules = rules.withColumns({c: F.lit(v).cast("string") for c, v in default.items() if c not in rules.columns})
+    usable = F.coalesce((F.col("resolution") == "matched") & F.col("code").isNotNull() & (F.col("region_status") == "active"), F.lit(False))
+    relevant = ~usable & (F.lit(province is None) | F.col("province").isNull() | (F.col("province") == F.lit(province)))
+    include, exclude = usable & (F.col("relation") == "include"), usable & (F.col("relation") == "exclude")
+    per = (
+        rules.join(path, "code", "left")
+        .join(below, "code", "left")
+        .groupBy("policy")
+        .agg(
+            F.count_if(exclude & F.col("above").isNotNull()).alias("shut"),
+            F.min(F.when(include, F.col("above"))).alias("near"),
+            F.min(F.when(include, F.col("under"))).alias("deep"),
+            F.count_if(include).alias("includes"),
+            F.count_if(relevant).alias("open_questions"),
+        )
     )
     kinds = (
         F.when(F.col("scope") == "nationwide", "match/nationwide")
-        .when(F.col("scope").isNull(), "unknown/policy_unknown")
+        .when(F.coalesce(F.col("scope"), F.lit("unknown")) == "unknown", "unknown/policy_unknown")
+        .when(F.lit(state != "matched"), f"unknown/query_{state}")
         .when(F.col("shut") > 0, "mismatch/exclude")
         .when(F.col("near") == 0, "match/exact")
         .when(F.col("near") > 0, "match/ancestor")
         .when(F.col("deep") > 0, "match/descendant")
-        .when(F.coalesce(F.col("includes"), F.lit(0)) == 0, "unknown/unresolved_rule")
+        .when((F.coalesce("includes", F.lit(0)) == 0) | (F.col("open_questions") > 0), "unknown/unresolved_rule")
         .otherwise("mismatch/other_region")
     )
     both = F.split(kinds, "/")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from brightweir import catalog_queries
+from brightweir import catalog_queries, policy_queries  # noqa: F401 - adds its queries
 from brightweir.functions import periods, text
 from brightweir.operators import audit, search, snapshot, verdict
 
@@ -39,7 +39,9 @@ def test_query_matches_sql(spark, name):
 def test_age_verdicts(spark):
     rows = [(20, 19, 34), (40, 19, 34), (20, None, None), (20, 0, 0), (None, 19, 34), (20, None, 34), (50, 19, None)]
     df = spark.createDataFrame(rows, "v int, lo int, hi int")
-    assert [r[0] for r in df.select(verdict.age(F.col("v"), F.col("lo"), F.col("hi"))).collect()] == ["match", "mismatch", "unknown", "match", None, "match", "match"]
+    assert [r[0] for r in df.select(verdict.age(F.col("v"), F.col("lo"), F.col("hi"))).collect()] == ["match", "mismatch", "unknown", "unknown", None, "match", "match"]
+    told = spark.createDataFrame([(0, 0, "연령 제한  없음"), (0, 0, "만 19세"), (None, 30, "제한 없음")], "lo int, hi int, t string")
+    assert [r[0] for r in told.select(verdict.age(F.lit(40), F.col("lo"), F.col("hi"), F.col("t"))).collect()] == ["match", "unknown", "mismatch"]
 
 
 def test_region_precedence(spark):
@@ -74,8 +76,8 @@ def test_visible_text_drops_scripts():
 
 
 def test_anchors_and_wildcards(spark):
-    assert search.anchors(["support", "rent"]) == ["rent"]
-    assert search.anchors(["support"], "support") == ["support"]
+    assert search.anchors(["지원", "rent", " RENT "]) == ["rent"]
+    assert search.anchors(["지원"], "지원") == ["지원"]
     df = spark.createDataFrame([("100% rent",), ("1000 rent",), (None,)], "t string")
     assert search.candidates(df, ["t"], ["100%rent"]).count() == 2
     assert search.candidates(df, ["t"], []).count() == 3
