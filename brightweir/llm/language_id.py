@@ -6,10 +6,10 @@ there, or a penalty if only other languages have it. A word that no language has
 n of which at least one is known, as their mean. A text's score is the mean over its words; the language with the highest
 wins (the first in order of code points if even).
 
-*Training* reads a bounded sample, about ``max_docs`` labelled texts taken by a hash of the id; counting is a Spark
-aggregation over the sample's words, and what it yields is at most ``max_entries`` entries for each n (the most frequent
-ones), so the model that is sent to tasks is bounded too. *Prediction* goes over whole texts in one pass, without a
-shuffle.
+*Training* reads a bounded sample, about ``per_language`` labelled texts of each language taken by a hash of the id, so a
+language is learned however rare it is. Words and n-grams of all lengths are counted in one Spark aggregation, and every
+entry of the sample is kept; the model that is sent to tasks is bounded by the sample, and grows with the number of
+languages alone. *Prediction* goes over whole texts in one pass, without a shuffle.
 
 Texts that are null or have no letter get ``und`` and score 0, as do all texts if nothing was learned. The score is the
 softmax of the languages' summed scores (at most ``SURE`` words count). Rows with a null language don't train. Repeated
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.llm.arrow import appended, pieces
@@ -97,40 +97,43 @@ def _letters(texts: pa.Array) -> pa.Array:
     return pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " "))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 6000, max_entries: int = 100_000, parts: int = 3, held: int = 1, longest: int = LONGEST) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, parts: int = 3, held: int = 1, longest: int = LONGEST) -> Model:
     """Learns from rows with a language outside fold ``held`` of the ids."""
-    id_, lang = F.col(id_col), F.col(lang_col)
-    usable = docs.where(lang.isNotNull() & F.coalesce(fold(id_, parts) != held, F.lit(True)))
-    n = usable.select(lang).count()
-    if not n:
+    id_ = F.col(id_col)
+    usable = docs.where(F.col(lang_col).isNotNull() & F.coalesce(fold(id_, parts) != held, F.lit(True))).select(id_.alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sample = usable.join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(per_language) / F.col("rows") * (1 << 30))
+    letters = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+", " ")), " ")
+    words = sample.select("lang", F.explode(letters).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
+
+    def of_length(k: int):
+        spots = F.sequence(F.lit(1), F.greatest(F.length("padded") - (k - 1), F.lit(1)))
+        return F.transform(spots, lambda i: F.struct(F.lit(k).alias("n"), F.substring("padded", i, F.lit(k)).alias("gram")))
+
+    every = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.col("word").alias("gram"))), *[of_length(k) for k in range(1, longest + 1)])
+    grams = words.withColumn("padded", F.concat(F.lit(" "), "word", F.lit(" "))).select("lang", "times", F.explode(every).alias("g")).select("lang", "times", "g.n", "g.gram")
+    per = grams.where((F.col("n") == 0) | (F.length("gram") == F.col("n"))).groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
+    totals = per.groupBy("n", "lang").agg(F.sum("times").alias("all"))
+    shares = per.join(totals, ["n", "lang"]).select("n", "gram", "lang", F.log(F.col("times") / F.col("all")).cast("float").alias("share"))
+    rows = shares.groupBy("n", "gram").agg(F.collect_list("lang").alias("langs"), F.collect_list("share").alias("shares")).toArrow()
+    return _model(rows, longest)
+
+
+def _model(rows: pa.Table, longest: int) -> Model:
+    """From the sample's entries: n, gram, and for each language that has it its name and share."""
+    rows = rows.combine_chunks().sort_by([("n", "ascending"), ("gram", "ascending")])
+    flat = pc.list_flatten(rows["langs"]).combine_chunks()
+    languages = sorted(pc.unique(flat).to_pylist())
+    if not languages:
         return Model([], [], [])
-    sample = usable.where(F.pmod(F.xxhash64(id_, F.lit(5)), F.lit(1 << 30)) < max_docs / n * (1 << 30))
-    letters = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+", " ")), " ")
-    words = sample.select(lang.alias("lang"), F.explode(letters).alias("gram")).where("gram <> ''")
-    words = words.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("times")).cache()
-    try:
-        each = [words.select("lang", "gram", "times")]
-        padded = F.concat(F.lit(" "), "gram", F.lit(" "))
-        for k in range(1, longest + 1):
-            at_ = F.explode(F.sequence(F.lit(1), F.length("gram") + 3 - k)).alias("i")
-            grams = words.where(F.length("gram") + 2 >= k).select("lang", "times", padded.alias("gram"), at_)
-            each.append(grams.select("lang", F.substring("gram", F.col("i"), F.lit(k)).alias("gram"), "times"))
-        languages = sorted(r.lang for r in words.select("lang").distinct().collect())
-        at = {x: i for i, x in enumerate(languages)}
-        tables, shares = [], []
-        for rows in each:
-            per = rows.groupBy("gram", "lang").agg(F.sum("times").alias("n"))
-            total = per.withColumn("share", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).cast("float"))
-            whole = total.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list("lang").alias("langs"), F.collect_list("share").alias("shares"))
-            top = whole.orderBy(F.col("all").desc(), "gram").limit(max_entries).select("gram", "langs", "shares").toArrow()
-            tables.append({g: i for i, g in enumerate(top["gram"].to_pylist())})
-            own = np.full((top.num_rows, len(languages)), PENALTY, np.float32)
-            for i, (langs, values) in enumerate(zip(top["langs"].to_pylist(), top["shares"].to_pylist(), strict=True)):
-                own[i, [at[x] for x in langs]] = values
-            shares.append(own)
-    finally:
-        words.unpersist()
-    return Model(languages, tables, shares)
+    column = pc.index_in(flat, pa.array(languages, flat.type)).to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(rows["langs"]).combine_chunks().to_numpy()
+    all_shares = np.full((rows.num_rows, len(languages)), PENALTY, np.float32)
+    all_shares[row, column] = pc.list_flatten(rows["shares"]).combine_chunks().to_numpy()
+    edges = np.searchsorted(rows["n"].to_numpy(), np.arange(longest + 2))
+    grams = rows["gram"].to_pylist()
+    own = list(zip(edges, edges[1:], strict=False))
+    return Model(languages, [{g: i for i, g in enumerate(grams[a:b])} for a, b in own], [all_shares[a:b] for a, b in own])
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
