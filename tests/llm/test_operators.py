@@ -147,17 +147,6 @@ def test_quality_counts(seed):
     assert quality.counts(text.encode()) == brute_counts(text)
 
 
-def test_kneser_ney_is_a_distribution():
-    grams, n = np.unique(quality.ngrams("the cat sat on the mat, the cat ran. " * 3 + "dogs bark at 12"), return_counts=True)
-    table = quality.look_up(*quality.kneser_ney(grams, n))
-    sums = (10.0 ** table.reshape(-1, quality.SYMBOLS)).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3)
-    c4 = np.zeros(quality.SIZE)
-    c4[grams] = n
-    seen = c4 > 0  # a seen n-gram: its discounted share plus what its context hands down, times the shorter one's probability
-    assert (table[seen] > math.log10(1 / quality.SYMBOLS) - 4).all() and table[seen].mean() > table[~seen].mean()
-
-
 def test_quality_bands_reject_the_odd_one(spark):
     texts = [*(" ".join(random.Random(i).choices("the cat sat on a mat and ran to its dog by night".split(), k=80)) for i in range(60)), " ".join(f"zq{i}xk" for i in range(80)), None, "", "few words", "a b c " * 60]
     got = {r.doc_id: r for r in quality.quality(docs_of(spark, texts)).collect()}
