@@ -1,12 +1,14 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Texts are normalised alike on both sides: ASCII letters in lower case, words are runs of digits, ASCII letters and
-characters beyond ASCII, one space between words. Every window of ``window`` consecutive words of an item is a pattern
-(an item of fewer words is one pattern as a whole); all patterns go into one automaton, and each text is passed through
-it once. Matches carry offsets in the normalised text, which are mapped to word numbers and from there to the original.
+characters beyond ASCII. Every window of ``window`` consecutive words of an item is a pattern (an item of fewer words is one
+pattern as a whole). The automaton's alphabet are the items' words, a character a word, and one more character for all other
+words; a text is passed through it once. Matches end at word numbers, which are mapped to byte offsets of the original.
 
-The automaton is sent to every task, so the benchmark's size is measured first. Items beyond ``max_chars`` go into a
-further automaton; texts then pass through one after the other, in the same job and without a shuffle, and hits add up.
+The benchmark comes to the driver in groups of at most ``max_bytes`` of item text, one group at a time; longer items are cut
+into pieces that overlap by ``window`` - 1 words. A group's text, not its automaton, is sent to the tasks; each worker builds
+it once (about 100 times the text, 400 MB at the default). With one group, the usual case, all is one pass over the texts
+without a shuffle; with more, each group is a job of its own that adds its hits, so that one automaton at a time is held.
 
 Null texts have no words. Items without words have no patterns. Items with equal ids count as one item; items whose id
 is null hit words but are not listed. Repeated rows each get their own result. Empty tables give empty results, and an
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.llm.arrow import appended, as_bytes
+from brightweir.session import cut
 
 #: Word bytes in lower case, everything else a space; bytes from 0x80 on belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -36,38 +39,41 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def automaton(items: list[tuple], window: int) -> ahocorasick.Automaton:
-    """items: (id, text as bytes); the value of a pattern is (its words, ids of its items)."""
-    patterns: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
+class Machine:
+    """Automaton of a group of items, and the characters that stand for their words; code points of surrogates are left out."""
+
+    def __init__(self, items: list[tuple], window: int):
+        """items: (id, text as bytes)."""
+        self.letters: dict[bytes, str] = {}
+        patterns: dict[str, set] = {}
+        for item, text in items:
+            w = "".join(self._letter(x) for x in words(text))
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                patterns.setdefault(w[i : i + window], set()).add(item)
+        self.built = ahocorasick.Automaton()
+        for p, ids in patterns.items():
+            self.built.add_word(p, (len(p), ids))
+        if patterns:
+            self.built.make_automaton()
+
+    def _letter(self, word: bytes) -> str:
+        if word not in self.letters:
+            n = len(self.letters) + 1
+            self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
+        return self.letters[word]
+
+    def scan(self, text: bytes) -> tuple[int, np.ndarray, set]:
+        """(number of words, runs [first, last) of hit words, ids of the items found)."""
         w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            patterns.setdefault(b" " + b" ".join(part) + b" ", (len(part), set()))[1].add(item)
-    built = ahocorasick.Automaton()
-    for p, value in patterns.items():
-        built.add_word(p.decode("latin-1"), value)  # a character a byte
-    if patterns:
-        built.make_automaton()
-    return built
-
-
-def scan(text: bytes, built: ahocorasick.Automaton) -> tuple[int, np.ndarray, set]:
-    """(number of words, runs [first, last) of hit words, ids of the items found)."""
-    w = words(text)
-    if not w or not len(built):
-        return len(w), np.empty((0, 2), np.int64), set()
-    flat = " " + b" ".join(w).decode("latin-1") + " "
-    ends, lengths, items = [], [], set()
-    for end, (n, found) in built.iter(flat):
-        ends.append(end)
-        lengths.append(n)
-        items |= found
-    if not ends:
-        return len(w), np.empty((0, 2), np.int64), items
-    after = np.cumsum([len(x) + 1 for x in w])  # offset of the space that ends each word
-    last = np.searchsorted(after, ends) + 1
-    return len(w), merged(np.stack([last - lengths, last], axis=1)), items
+        none = np.empty((0, 2), np.int64)
+        if not w or not len(self.built):
+            return len(w), none, set()
+        get, other = self.letters.get, "\0"
+        runs, items = [], set()
+        for end, (n, found) in self.built.iter("".join([get(x, other) for x in w])):
+            runs.append((end + 1 - n, end + 1))
+            items |= found
+        return len(w), merged(np.array(runs, np.int64)) if runs else none, items
 
 
 def merged(runs: np.ndarray) -> np.ndarray:
@@ -86,36 +92,53 @@ def original_spans(text: bytes, runs: np.ndarray) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int) -> list[list[tuple]]:
-    """Items in groups of about max_chars bytes. A group is what one automaton is built from."""
+def _pieces(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """The text, or its normalised words in pieces of about ``most`` bytes that share ``window`` - 1 words."""
+    if len(text) <= most:
+        yield text
+        return
+    w, at = words(text), 0
+    while at < len(w):
+        end, size = at, 0
+        while end < len(w) and (size < most or end - at < window):
+            size += len(w[end]) + 1
+            end += 1
+        yield b" ".join(w[at:end])
+        if end >= len(w):
+            return
+        at = end - window + 1
+
+
+def _groups(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple]]:
+    """Items in groups of about ``most`` bytes; at least one group, and one in memory at a time."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).distinct()
-    groups: list[list[tuple]] = [[]]
-    held = 0
+    group, held = [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if held and held + len(r.t) > max_chars:
-            groups.append([])
-            held = 0
-        groups[-1].append((r.i, bytes(r.t)))
-        held += len(r.t)
-    return groups
+        for piece in _pieces(bytes(r.t), window, most):
+            if held and held + len(piece) > most:
+                yield group
+                group, held = [], 0
+            group.append((r.i, piece))
+            held += len(piece)
+    yield group
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_chars: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (byte offsets, end exclusive).
 
     Columns of these names are replaced."""
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
     spark, out = docs.sparkSession, docs
-    groups = _chunks(benchmark, item_col, item_text_col, max_chars)
     runs_type, items_type = pa.list_(pa.int64()), pa.list_(pa.string())
 
-    def passed(built, first: bool):
+    def passed(group, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = built.value
+            machine = None
             for batch in batches:
                 n_words, runs, items = [], [], []
+                machine = machine or _machine(group, window)
                 for text in as_bytes(batch[text_col]):
-                    n, hit, found = scan(text, machine)
+                    n, hit, found = machine.scan(text)
                     n_words.append(n)
                     runs.append(hit.ravel().tolist())
                     items.append([x for x in found if x is not None])
@@ -128,9 +151,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return run
 
     schema = _ddl(docs) + ["n_words long", "__hit_runs array<long>", "__hit_items array<string>"]
-    for k, items in enumerate(groups):
-        built = spark.sparkContext.broadcast(automaton(items, window))
-        out = out.mapInArrow(passed(built, k == 0), ", ".join(schema))
+    first, before = True, None
+    for items in _groups(benchmark, item_col, item_text_col, window, max_bytes):
+        if before is not None:
+            out = cut(out.mapInArrow(passed(before, first), ", ".join(schema)))
+            before.unpersist()
+            first = False
+        before = spark.sparkContext.broadcast(items)
+    out = out.mapInArrow(passed(before, first), ", ".join(schema))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,6 +182,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return out.mapInArrow(finished, ", ".join([*_ddl(docs), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start: long, end: long>>"]))
 
 
+_BUILT: dict = {}
+
+
+def _machine(group, window: int) -> Machine:
+    """The group's automaton, built once a worker process; an earlier one is let go."""
+    key = (id(group.value), window)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Machine(group.value, window)
+    return _BUILT[key]
+
+
 def _ddl(df: DataFrame) -> list[str]:
     return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
 
