@@ -129,34 +129,41 @@ def within(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int) -> tupl
     return rows[q], lane
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+def _hooked(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) of a spanning forest over the components that label names, and the labels after them."""
+    kept_a, kept_b = [], []
+    while len(a):
+        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        order = np.lexsort((lo, hi))
+        order = order[lo[order] < hi[order]]
+        # Each larger label is hung on the smallest that it meets, so that no circle can close.
+        first = order[np.flatnonzero(np.r_[True, hi[order][1:] != hi[order][:-1]])] if len(order) else order
+        kept_a.append(a[first])
+        kept_b.append(b[first])
+        up = np.arange(len(label))
+        up[hi[first]] = lo[first]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+        left = label[a] != label[b]
+        a, b = a[left], b[left]
+    none = np.empty(0, np.int64)
+    return np.concatenate(kept_a or [none]), np.concatenate(kept_b or [none]), label
 
 
 def bucket_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the fingerprints within the radius: inside left, or between left and right."""
     both = left if right is None else np.concatenate([left, right])
     other, base = (left, 0) if right is None else (right, len(left))
-    forest, links, sliced = _Forest(len(both)), [], planes(other)
-    step = max(1, (1 << 19) // max(1, sliced.shape[1]))
+    label, links, sliced = np.arange(len(both)), [], planes(other)
+    step = max(1, (1 << 22) // (64 * max(1, sliced.shape[1])))
     for at in range(0, len(left), step):
         q, lane = within(left[at : at + step], sliced, len(other), radius)
-        for a, b in zip((q + at).tolist(), (lane + base).tolist(), strict=True):
-            if a != b and forest.join(a, b):
-                links.append((a, b))
-    return [(int(both[a]), int(both[b])) for a, b in links]
+        a, b = q + at, lane + base
+        fresh = label[a] != label[b]
+        a, b, label = _hooked(a[fresh], b[fresh], label)
+        links += zip(both[a].tolist(), both[b].tolist(), strict=True)
+    return links
 
 
 def near_links(nodes: DataFrame, radius: int, tile: int = 16384, target: int = 1024) -> DataFrame:
@@ -230,19 +237,21 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def placed(prints: DataFrame, radius: int) -> DataFrame:
-    """prints (id, fp, ...): (fp, root, least), the component of each fingerprint, and the smallest id of a fingerprint's rows."""
+def placed(prints: DataFrame, radius: int, salts: int = 16) -> DataFrame:
+    """prints (id, fp, ...): (fp, root, least, component_id): the component of each fingerprint, the smallest id of its rows, and
+    that of the component. Only fingerprints with a link meet their component, each component in ``salts`` parts."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp").join(nodes, "fp")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(ids, ["root", "salt"]).select("fp", "root", "component_id", F.lit(True).alias("linked"))
+    out = nodes.join(linked, "fp", "left")
+    return out.select("fp", F.coalesce("root", "fp").alias("root"), "least", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hexadecimal digits), component_id."""
     prints = cut(with_fingerprint(docs, id_col, text_col, shingle))
-    nodes = placed(prints, radius)
-    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = nodes.join(ids, "root").select("fp", "component_id")
+    by_print = placed(prints, radius).select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
