@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
 }

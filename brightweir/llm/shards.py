@@ -17,8 +17,13 @@ from brightweir.session import cut
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
+#: Shards that a store has at most, or about so: from then on shards grow instead.
+MOST = 20_000
+
+
 def range_edges(keys: DataFrame, target: int, start: int = 64) -> list[int]:
-    """keys (key long, size long): sorted lower edges of all shards but the first, each shard of about target bytes.
+    """keys (key long, size long): sorted lower edges of all shards but the first, each shard of about target bytes, or of the
+    total's part in ``MOST`` if that is more, so that what the driver holds doesn't grow with the data.
 
     Bins of equal width are counted, and those above the target are cut finer, until each is small or a single key. What
     comes to the driver is a sum for each bin, some bins a shard. Equal data give equal edges in any run."""
@@ -26,6 +31,7 @@ def range_edges(keys: DataFrame, target: int, start: int = 64) -> list[int]:
     low, high, total = keys.agg(F.min("key"), F.max("key"), F.sum("size")).first()
     if low is None or not total or total <= target:
         return []
+    target = max(target, -(-total // MOST))
     edges = sorted({low + (high + 1 - low) * i // start for i in range(start)})
     for _ in range(70):
         sums = dict(keys.groupBy(bin_of(F.col("key"), edges).alias("bin")).agg(F.sum("size")).collect())

@@ -7,8 +7,9 @@ is a parameter, so equal tables give equal bytes. Of records with equal payloads
 the largest page id is a response and the others are revisit records that refer to it. Files get temporary names and are
 moved when whole; a manifest, written last, names the files that count, with sizes and checksums.
 
-Which pages revisit is settled on ids and digests alone; payloads are shuffled once, into their shards. Equal payloads
-are first brought down to one row for each digest, so a payload that a third of all pages share is no hot task.
+Which pages revisit is settled on ids and digests alone; payloads are shuffled once, into their shards. Digests that occur
+more than once are summed up in tasks first and meet their pages in ``SALTS`` parts, so a payload that a third of all pages
+share is no hot task. A shard has 16 MB of payload or a 20,000th of all, and rolls into a file each 2 MB of compressed bytes.
 
 Null html counts as empty. Null page ids come first and are the smallest. A page row that is there more than once is one
 response and revisits of it, as its payload and id are equal. Null urls become ``urn:page:<id>``. An empty table gives no
@@ -33,7 +34,7 @@ from brightweir.session import scratch
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FILES = "shard int, seq int, name string, n_records long, n_bytes long, sha256 string"
-NO_ID = shards.LOW
+SALTS = 16
 
 
 def base32(sha1: bytes) -> str:
@@ -66,15 +67,18 @@ def _record_id(page: int | None, digest: str, kind: str) -> uuid.UUID:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{page}/{digest}/{kind}")
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, roll_bytes: int = 2 << 20, shard_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Writes the archives to the folder and returns the manifest's path."""
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     light = base.select("page", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     edges = shards.range_edges(light.select(F.col("page").alias("key"), (F.col("size") + 512).alias("size")), shard_bytes)
     best = light.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # Notes go ahead of the pages that they are about: one for each (id, digest) with more than one payload like it.
-    notes = light.join(best, "sha1").select("page", "sha1", "response").distinct()
+    # Notes go ahead of the pages that they are about: one for each (id, digest) with more than one payload like it. The rows of a
+    # digest are dealt to several parts, so that one that a third of the pages share is no single task's.
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = light.select("page", "sha1", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int").alias("salt"))
+    notes = salted.join(best, ["sha1", "salt"]).select("page", "sha1", "response").distinct()
     rows = base.select("page", F.unhex(F.sha1("payload")).alias("sha1"), "url", "payload", F.lit(None).cast("long").alias("response"), F.lit(1).alias("what"))
     rows = rows.unionByName(notes.select("page", "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "response", F.lit(0).alias("what")))
     dealt = rows.withColumn("shard", shards.bin_of(F.col("page"), edges)).repartitionById(len(edges) + 1, "shard")
@@ -200,4 +204,15 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return read_warc(spark, path)
 
 
-#: SHA-1 and base 32 of the bytes are not to be had in DuckDB, so op7 has no SQL.
+_BITS = ", ".join(f"'{n:04b}'" for n in range(16))
+#: Base 32 by way of the digest's bits.
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS m,
+  array_to_string(list_transform(string_split(sha1(h), ''), lambda c: [{_BITS}][instr('0123456789abcdef', c)]), '') AS b FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(b, CAST(5 * i + 1 AS BIGINT), 1) AS INTEGER) + 8 * CAST(substr(b, CAST(5 * i + 2 AS BIGINT), 1) AS INTEGER)
+    + 4 * CAST(substr(b, CAST(5 * i + 3 AS BIGINT), 1) AS INTEGER) + 2 * CAST(substr(b, CAST(5 * i + 4 AS BIGINT), 1) AS INTEGER) + CAST(substr(b, CAST(5 * i + 5 AS BIGINT), 1) AS INTEGER) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM q
+"""
