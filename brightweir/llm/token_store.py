@@ -8,7 +8,7 @@ and the number of its first document. A lookup is a few hashes, one comparison a
 the shard's size. Files are written under temporary names and moved when whole; a manifest then names the shards, their
 key ranges and the number of ids before each.
 
-Null texts count as empty and hold just the end id. Null ids come first. Repeated ids are neighbours, ordered by text,
+Null texts count as empty and hold just the end id. Null ids come first and aren't in the index. Repeated ids are neighbours, ordered by text,
 and share a slot that points at the first. An empty table gives a store without shards. Other columns are ignored.
 """
 
@@ -28,7 +28,6 @@ from brightweir.llm.arrow import pieces
 from brightweir.llm.words_bpe import encoder
 from brightweir.session import scratch
 
-NULL_KEY = shards.LOW
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -74,18 +73,20 @@ class PerfectHash:
 
 
 class ShardIndex:
-    def __init__(self, hashed: PerfectHash, prints: np.ndarray, first: np.ndarray, keys: np.ndarray, starts: np.ndarray):
-        self.hashed, self.prints, self.first, self.keys, self.starts = hashed, prints, first, keys, starts
+    """keys: of the documents in order; the first ``nulls`` of them have none, and a zero in its place."""
+
+    def __init__(self, hashed: PerfectHash, prints: np.ndarray, first: np.ndarray, keys: np.ndarray, starts: np.ndarray, nulls: int = 0):
+        self.hashed, self.prints, self.first, self.keys, self.starts, self.nulls = hashed, prints, first, keys, starts, nulls
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray) -> ShardIndex:
-        distinct, first = np.unique(keys, return_index=True)
+    def build(cls, keys: np.ndarray, counts: np.ndarray, nulls: int = 0) -> ShardIndex:
+        distinct, first = np.unique(keys[nulls:], return_index=True)
         hashed = PerfectHash.build(distinct)
         at = hashed.slots(distinct)
         prints, order = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
         prints[at] = (_mix(distinct, 1 << 20) >> np.uint64(32)).astype("<u4")
-        order[at] = first
-        return cls(hashed, prints, order, keys.astype("<i8"), np.r_[0, np.cumsum(counts)].astype("<i8"))
+        order[at] = first + nulls
+        return cls(hashed, prints, order, keys.astype("<i8"), np.r_[0, np.cumsum(counts)].astype("<i8"), nulls)
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Number of the first document of each key, -1 where there is none."""
@@ -98,9 +99,19 @@ class ShardIndex:
         out[~found] = -1
         return out
 
+    def documents(self) -> np.ndarray:
+        """The number of every document, those with a key found through the index: repeats of a key follow the first."""
+        n = np.arange(len(self.keys))
+        own = self.keys[self.nulls :]
+        if len(own):
+            at = np.arange(len(own))
+            since = at - np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], at, 0))
+            n[self.nulls :] = self.lookup(own) + since
+        return n
+
     def to_bytes(self) -> bytes:
         arrays = [self.hashed.bits, self.prints, self.first, self.keys, self.starts]
-        head = json.dumps({"levels": self.hashed.sizes, "lengths": [len(a) for a in arrays]}).encode()
+        head = json.dumps({"levels": self.hashed.sizes, "lengths": [len(a) for a in arrays], "nulls": self.nulls}).encode()
         return b"BWIX" + len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays)
 
     @classmethod
@@ -113,7 +124,7 @@ class ShardIndex:
             a = np.frombuffer(raw, kind, size, at)
             arrays.append(a)
             at += a.nbytes
-        return cls(PerfectHash(head["levels"], arrays[0]), *arrays[1:])
+        return cls(PerfectHash(head["levels"], arrays[0]), *arrays[1:], head["nulls"])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> str:
@@ -133,16 +144,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         part = next(parts, None)
         if part is None:
             return
-        shard, keys, counts, crc = part["shard"][0].as_py(), [], [], 0
+        shard, keys, counts, nulls = part["shard"][0].as_py(), [], [], 0
         with shards.whole_file(fs, f"{root}/ids-{shard:06d}.bin") as out:
             while part is not None:
-                keys.append(part["key"].fill_null(NULL_KEY).to_numpy())
+                keys.append(part["key"].fill_null(0).to_numpy())
+                nulls += part["key"].null_count
                 for ids in encode.encode(part["text"]):
                     out.write(ids.astype(kind).tobytes())
                     out.write(tail.tobytes())
                     counts.append(len(ids) + 1)
                 part = next(parts, None)
-        index = ShardIndex.build(np.concatenate(keys), np.array(counts))
+        index = ShardIndex.build(np.concatenate(keys), np.array(counts), nulls)
         with shards.whole_file(fs, f"{root}/ids-{shard:06d}.idx") as out:
             out.write(index.to_bytes())
         row = (shard, len(counts), int(index.starts[-1]), encode.width, int(index.keys[0]), int(index.keys[-1]))
@@ -177,12 +189,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 index, ids = _load(fs, root, r["shard"], r["width"])
-                own = index.lookup(index.keys)
-                # Documents of a repeated key follow the first, to which the index leads.
-                n = np.arange(len(own)) if len(own) == 0 else own + (np.arange(len(own)) - np.maximum.accumulate(np.where(np.r_[True, index.keys[1:] != index.keys[:-1]], np.arange(len(own)), 0)))
+                n = index.documents()
                 lo, hi = index.starts[n], index.starts[n + 1]
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(lo, hi, strict=True)]
-                keys = pa.array(index.keys, pa.int64(), mask=index.keys == NULL_KEY)
+                keys = pa.array(index.keys, pa.int64(), mask=np.arange(len(index.keys)) < index.nulls)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(lo + r["start"]), pa.array(hi - lo), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
     shards_ = read_manifest(spark, path)
@@ -193,7 +203,7 @@ def fetch(keys: DataFrame, path: str, key_col: str) -> DataFrame:
     """(key, ids) for the keys that the store has: keyed access, one task a shard that is asked for."""
     spark = keys.sparkSession
     manifest = read_manifest(spark, path).orderBy("shard").collect()
-    edges = [r.low for r in manifest[1:]]
+    edges = [r.low for r in manifest[1:]]  # nulls are in the first shard, whose lower edge isn't asked for
     asked = keys.select(F.col(key_col).cast("long").alias("key")).where("key IS NOT NULL").distinct()
     width = {i: (r.shard, r.width) for i, r in enumerate(manifest)}
 
