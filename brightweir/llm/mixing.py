@@ -14,7 +14,8 @@ source (``heads`` of them at most) are one block and are settled first, to the l
 the other documents' probabilities before they are paired. Draws are hashes of the rows, so reruns agree.
 
 Equal rows (id, source, size) are one entry whose copies are dealt evenly, so many repeats of a row are no hot block.
-Blocks are by hash within a source, so a source with a third of all rows has more blocks, not larger ones.
+Blocks are by hash within a source, so a source with a third of all rows has more blocks, not larger ones. Entries are told
+apart by 128 bits. Targets are settled in one task, from a row of some 100 bytes a source.
 
 Null texts have no words. Null sources are a source, last in order; so is the empty one, first. Documents without words
 take no part in the rounding and get the whole part of the factor plus a copy drawn by the fraction. Null ids are allowed. A
@@ -80,7 +81,7 @@ def _level(entries: DataFrame, salt: int) -> DataFrame:
         return F.struct(left.alias("left"), F.concat(acc["done"], F.array(one)).alias("done"))
 
     first = F.struct(F.col("all")[0]["key"].alias("key"), F.col("all")[0]["p"].alias("p"), F.col("all")[0]["s"].alias("s"))
-    start = F.struct(first.alias("left"), F.expr("CAST(array() AS array<struct<key: bigint, more: int>>)").alias("done"))
+    start = F.struct(first.alias("left"), F.expr("CAST(array() AS array<struct<key: struct<a: bigint, b: bigint>, more: int>>)").alias("done"))
     return blocks.select("src", "block", F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, step).alias("r")).select("src", "block", "r.left", "r.done")
 
 
@@ -98,7 +99,7 @@ def copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     placed = entries.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     wanted = F.col("factor") * F.col("c")
     whole = F.floor(wanted + 1e-9)
-    placed = placed.withColumn("key", F.xxhash64(F.lit(seed), "id", "source", "size")).withColumn("whole", whole).withColumn("p", F.greatest(wanted - whole, F.lit(0.0)))
+    placed = placed.withColumn("key", F.struct(F.xxhash64(F.lit(seed), "id", "source", "size").alias("a"), F.xxhash64(F.lit(seed + 1), "size", "source", "id").alias("b"))).withColumn("whole", whole).withColumn("p", F.greatest(wanted - whole, F.lit(0.0)))
     part = placed.where("size > 0 AND p > 1e-9").select("src", "n", "key", "p", F.col("size").cast("double").alias("s"), (F.col("size") * F.lit(heads) > F.col("source_size")).alias("head"))
     block_of = F.pmod(F.xxhash64(F.lit(seed), "key"), F.ceil(F.col("n") / block))
     # Keys settled as taken once more; all others are not.
@@ -152,10 +153,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     met = own.join(table, same).select(*(own[c] for c in docs.columns), own["__row"].alias("__k"), "__n", table["c"].alias("__c"), table["extra"].alias("__extra"))
     taken = met.where("__c = 1").withColumn("__times", F.col("__extra"))
     if not table.where("c > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("__k", id_col, source_col, "__n").orderBy(text_col))
-        often = met.where("__c > 1").withColumn("__nth", nth)
-        times = F.floor(F.col("__extra") / F.col("__c")) + (F.col("__nth") <= F.col("__extra") % F.col("__c")).cast("long")
-        taken = taken.unionByName(often.withColumn("__times", times).drop("__nth"))
+        # Rows that are alike in all columns are one variant with a count; variants are put in order by their hash.
+        rows = met.where("__c > 1").withColumn("__hash", F.struct(F.xxhash64(*docs.columns), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+        variants = rows.groupBy("__k", "__n", "__c", "__extra", "__hash").agg(F.count(F.lit(1)).alias("__m"), *[F.any_value(c).alias(c) for c in docs.columns])
+        before = F.sum("__m").over(Window.partitionBy("__k", id_col, source_col, "__n").orderBy("__hash").rowsBetween(Window.unboundedPreceding, -1))
+        left = F.col("__extra") % F.col("__c") - F.coalesce(before, F.lit(0))
+        times = F.floor(F.col("__extra") / F.col("__c")) * F.col("__m") + F.least(F.greatest(left, F.lit(0)), F.col("__m"))
+        taken = taken.unionByName(variants.withColumn("__times", times).select(*taken.columns))
     return taken.where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*docs.columns)
 
 
