@@ -166,3 +166,31 @@ def test_a_third_of_all_rows_alike(spark):
     mixed = mixing.mix_table(docs.withColumn("source", F.when(F.col("doc_id") < 300, "hot").otherwise("cold")))
     per = mixed.groupBy("source_size").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
     assert all(abs(x.n - x.t) <= 10 for x in per)
+
+
+def test_repeated_rows_with_different_texts_are_dealt_evenly(spark):
+    rows = [(1, "a b c", "en", "hot", 5)] * 40 + [(1, "d e f", "en", "hot", 5)] * 20 + [(2, "g h", "de", "cold", 3)] * 2 + [(3, "x y z", "en", None, 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = mixing.mix(docs)
+    assert taken.columns == docs.columns
+    got = {tuple(x)[:2]: x["count"] for x in taken.groupBy("doc_id", "text").count().collect()}
+    want = mixing.mix_table(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    for x in want:
+        assert sum(n for (i, _), n in got.items() if i == x.doc_id) == x.n
+    per_copy = [got.get((1, "a b c"), 0) / 40, got.get((1, "d e f"), 0) / 20]
+    assert abs(per_copy[0] - per_copy[1]) <= 1
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://x:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session())
