@@ -42,9 +42,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set and all runs in one JVM."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         given = "file://" + tempfile.mkdtemp(prefix="brightweir-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -55,6 +57,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path that nothing reads any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not a scratch path")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and forget the lineage; survives lost executors."""
     spark = df.sparkSession
