@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -245,8 +246,8 @@ def latest_per_key(spark, d):
 def first_occurrence_dedup(spark, d):
     key = F.md5(text.fold(F.col("text")))
     keyed = table(spark, d, "documents").select("doc_id", key.alias("k"))
-    first = keyed.groupBy("k").agg(F.min("doc_id").alias("first"))
-    return keyed.join(first, "k").select("doc_id", (F.col("doc_id") != F.col("first")).alias("duplicate"))
+    first = keyed.groupBy("k").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return audit.met(keyed, first, "k").select("doc_id", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False)).alias("duplicate"))
 
 
 _INCOMING = "SELECT c_custkey + CASE WHEN c_custkey % 10 = 0 THEN 10000000 ELSE 0 END AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer"
@@ -359,17 +360,19 @@ SELECT doc_id, CASE WHEN k = '' THEN 'review_incomplete' WHEN n = 1 THEN 'unique
 def dedup_precedence(spark, d):
     """Precedence of duplicate decisions over full fingerprints; copies are settled from one row a fingerprint."""
     keyed = table(spark, d, "documents").select("doc_id", "lang", text.fold(F.col("text")).alias("t")).select("doc_id", "lang", (F.col("t") == "").alias("blank"), F.md5("t").alias("h"))
-    per = keyed.where("NOT blank").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("langs"), F.min("doc_id").alias("first"))
-    decision = F.when(F.col("blank"), "review_incomplete").when(F.col("n") == 1, "unique").when(F.col("langs") > 1, "review_conflict").when(F.col("doc_id") == F.col("first"), "keep_first").otherwise("exact_duplicate")
-    return keyed.join(per, "h", "left").select("doc_id", decision.alias("decision"))
+    per = keyed.where("NOT blank").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("langs"), F.min("doc_id").alias("first")).where("n > 1")
+    decision = F.when(F.col("blank"), "review_incomplete").when(F.col("n").isNull(), "unique").when(F.col("langs") > 1, "review_conflict").when(F.col("doc_id") == F.col("first"), "keep_first").otherwise("exact_duplicate")
+    return audit.met(keyed, per, "h").select("doc_id", decision.alias("decision"))
 
 
-@_query("""WITH k AS (SELECT sha256(CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus) AS k FROM orders), b AS (SELECT substr(k, 1, 3) AS p, sha256(string_agg(k, ',' ORDER BY k)) AS h, count(*) AS n FROM k GROUP BY 1)
+@_query("""WITH k AS (SELECT sha256(CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus) AS k FROM orders), w AS (SELECT greatest(1, CAST(ceil(ln(count(*) / 4096.0) / ln(16)) AS BIGINT)) AS w FROM k), b AS (SELECT substr(k, 1, w) AS p, sha256(string_agg(k, ',' ORDER BY k)) AS h, count(*) AS n FROM k, w GROUP BY 1)
 SELECT sha256(string_agg(h, ',' ORDER BY p)) AS root, CAST(sum(n) AS BIGINT) AS identities FROM b""")
 def identity_hash(spark, d):
-    """One hash over all sorted identities, by way of a hash for each of 4,096 prefixes, so no task sorts them all."""
+    """One hash over all sorted identities, by way of a hash for each prefix of so many digits that about 4,096 identities share one
+    at most: no task sorts them all."""
     ids = table(spark, d, "orders").select(F.sha2(F.concat_ws("/", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("k"))
-    part = ids.groupBy(F.substring("k", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    digits = max(1, math.ceil(math.log(max(1, ids.count()) / 4096, 16)))
+    part = ids.groupBy(F.substring("k", 1, digits).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     whole = part.agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("l"), F.sum("n").alias("identities"))
     return whole.select(F.sha2(F.array_join("l.h", ","), 256).alias("root"), "identities")
 

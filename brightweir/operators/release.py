@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +23,31 @@ def fingerprint(df: DataFrame, cols: list[str]) -> tuple[int, int]:
 
 
 def install(df: DataFrame, root: str, version: str, keys: list[str]) -> None:
-    """Writes the version, reads it back, and moves the pointer only if rows, content and unique keys hold; a version that
-    exists is an error. Earlier versions stay."""
-    spark, path = df.sparkSession, f"{root}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    back = spark.read.parquet(path)
-    if fingerprint(back, df.columns) != fingerprint(df, df.columns):
-        raise ValueError(f"{version}: what was read back differs")
-    broken = back.groupBy(*keys).count().where(F.col("count") > 1)
-    if not broken.isEmpty() or not back.where(" OR ".join(f"`{k}` IS NULL" for k in keys)).isEmpty():
-        raise ValueError(f"{version}: keys are not unique")
+    """Writes the version under a temporary name, reads it back, and gives it its name and moves the pointer only if rows, content
+    and unique keys hold; what fails is deleted, and its name stays free. A version that exists is an error. Earlier versions
+    stay."""
+    spark, path, staged = df.sparkSession, f"{root}/version={version}", f"{root}/_staged-{version}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    final, draft = hadoop.Path(path), hadoop.Path(staged)
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(final):
+        raise ValueError(f"{version} already exists")
+    try:
+        df.write.parquet(staged)
+        back = spark.read.parquet(staged)
+        if fingerprint(back, df.columns) != fingerprint(df, df.columns):
+            raise ValueError(f"{version}: what was read back differs")
+        broken = back.groupBy(*keys).count().where(F.col("count") > 1)
+        if not broken.isEmpty() or not back.where(" OR ".join(f"`{k}` IS NULL" for k in keys)).isEmpty():
+            raise ValueError(f"{version}: keys are not unique")
+        if not fs.rename(draft, final):
+            raise ValueError(f"{version} already exists")
+    finally:
+        fs.delete(draft, True)
     spark.createDataFrame([(version,)], "version string").withColumn("activated_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/pointer")
 
 
 def active(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was activated last."""
-    last = spark.read.schema("version string, activated_at timestamp").json(f"{root}/pointer").agg(F.max_by("version", "activated_at")).first()[0]
+    """The version that was activated last; of two at the same instant, the one whose name comes last."""
+    last = spark.read.schema("version string, activated_at timestamp").json(f"{root}/pointer").agg(F.max_by("version", F.struct("activated_at", "version"))).first()[0]
     return spark.read.parquet(f"{root}/version={last}")

@@ -113,6 +113,13 @@ def test_taxonomy(spark):
     assert one(spark, F.array_join(decide.taxonomy(F.lit("가족돌봄청년rotc")), ",")) == ("care_independence/가족돌봄청년,cohort_military/ROTC,direct/청년",)
 
 
+def test_the_day_of_an_instant_in_a_zone(spark):
+    from brightweir.functions import periods
+
+    late = F.lit("2026-01-14 16:30:00").cast("timestamp")
+    assert one(spark, periods.day(late), periods.day(late, "Asia/Seoul")) == (datetime.date(2026, 1, 14), datetime.date(2026, 1, 15))
+
+
 def test_gates(spark):
     assert one(spark, gates.lifecycle_complete(F.lit(True), F.lit(0), F.lit(True), F.lit(None), F.lit(0), F.lit(0)), gates.lifecycle_complete(F.lit(True), F.lit(1), F.lit(True), F.lit(0), F.lit(0), F.lit(0))) == (True, False)
     log = spark.createDataFrame([(1, 2, "claim"), (1, 1, "enqueue"), (2, 1, "claim"), (3, 1, "nonsense")], "run int, seq int, step string")
