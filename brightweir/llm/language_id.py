@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 
 from brightweir.llm.arrow import appended, pieces
 from brightweir.llm.toxicity import fold
+from brightweir.session import cut
 
 LONGEST = 4
 PENALTY = -14.0
 SURE = 50
+#: Languages whose sizes (some 50 bytes each) are sent to every task.
+SMALL = 100_000
 #: Distinct words whose scores a worker keeps.
 KEPT = 400_000
 
@@ -101,8 +104,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from rows with a language outside fold ``held`` of the ids."""
     id_ = F.col(id_col)
     usable = docs.where(F.col(lang_col).isNotNull() & F.coalesce(fold(id_, parts) != held, F.lit(True))).select(id_.alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    sample = usable.join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(per_language) / F.col("rows") * (1 << 30))
+    sizes = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    # A row a language, which the model has columns of; beyond that many the planner is left to choose.
+    small = F.broadcast if sizes.count() <= SMALL else (lambda df: df)
+    sample = usable.join(small(sizes), "lang").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(per_language) / F.col("rows") * (1 << 30))
     letters = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+", " ")), " ")
     words = sample.select("lang", F.explode(letters).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
 
@@ -114,7 +119,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     grams = words.withColumn("padded", F.concat(F.lit(" "), "word", F.lit(" "))).select("lang", "times", F.explode(every).alias("g")).select("lang", "times", "g.n", "g.gram")
     per = grams.where((F.col("n") == 0) | (F.length("gram") == F.col("n"))).groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
     totals = per.groupBy("n", "lang").agg(F.sum("times").alias("all"))
-    shares = per.join(totals, ["n", "lang"]).select("n", "gram", "lang", F.log(F.col("times") / F.col("all")).cast("float").alias("share"))
+    shares = per.join(small(totals), ["n", "lang"]).select("n", "gram", "lang", F.log(F.col("times") / F.col("all")).cast("float").alias("share"))
     rows = shares.groupBy("n", "gram").agg(F.collect_list("lang").alias("langs"), F.collect_list("share").alias("shares")).toArrow()
     return _model(rows, longest)
 
