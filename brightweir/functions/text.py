@@ -69,6 +69,17 @@ def visible_text(c: ColumnOrName) -> Column:
     return _arrow(visible, c)
 
 
+def comparison_url(url: Column, https_only: bool = False, keep_port: bool = False) -> Column:
+    """An address for comparison: https, host in lower case (with its port if that is to stay), path or a slash, all parameters
+    sorted, no fragment; null for other schemes."""
+    part = lambda k: F.regexp_extract(F.trim(url), r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(:\d+)?([^?#]*)(?:\?([^#]*))?", k)
+    fits = F.lower(part(1)) == "https" if https_only else part(1) != ""
+    query = F.array_join(F.array_sort(F.filter(F.split(part(5), "&"), lambda q: q != "")), "&")
+    path = F.when(part(4) == "", "/").otherwise(part(4))
+    made = F.concat(F.lit("https://"), F.lower(part(2)), part(3) if keep_port else F.lit(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(fits, made)
+
+
 def canonical_url(url: Column, drop_prefix: str = "utm_") -> Column:
     """Scheme and host in lower case, no fragment, no parameters of the prefix, the others sorted, no slash at the end."""
     head = F.concat(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1)), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))

@@ -245,7 +245,7 @@ def preferred(detail: Column, listed: Column) -> Column:
 
 def observation(labels: Column, label: str) -> Column:
     """Whether a page's labels (a map) have a label, and a value for it."""
-    return F.when(~F.coalesce(F.map_contains_key(labels, label), F.lit(False)), "label_missing").when(F.coalesce(F.trim(labels[label]), F.lit("")) == "", "label_empty").otherwise("value_extracted")
+    return F.when(~F.coalesce(F.map_contains_key(labels, label), F.lit(False)), "label_not_found").when(F.coalesce(F.trim(labels[label]), F.lit("")) == "", "label_present_value_empty").otherwise("value_extracted")
 
 
 def has_zone(value: Column) -> Column:

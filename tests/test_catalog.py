@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from brightweir import catalog_queries, ingest_queries, policy_queries  # noqa: F401 - the last two add their queries
+from brightweir import catalog_queries, evidence_queries, ingest_queries, policy_queries  # noqa: F401 - the last three add their queries
 from brightweir.functions import periods, text
 from brightweir.operators import audit, search, snapshot, verdict
 

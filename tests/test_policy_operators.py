@@ -76,7 +76,7 @@ def test_normalisers_of_nulls_and_blanks(spark):
     assert one(spark, normalize.availability(F.lit("2026년 13월 1일"), today)["reason"], normalize.availability(none, today, F.lit(True))["state"], normalize.availability(F.lit("2026.1.1"), today)["state"]) == ("application_period_invalid", "open", "closed")
     assert one(spark, normalize.has_zone(F.lit("2026-01-01T00:00:00")), normalize.has_zone(F.lit("2026-01-01T00:00:00+09:00")).isNotNull(), normalize.preferred(F.lit(" "), F.lit("b"))) == (None, True, "b")
     labels = F.create_map(F.lit("a"), F.lit(" "), F.lit("b"), F.lit("x"))
-    assert one(spark, *[normalize.observation(labels, k) for k in "abc"]) == ("label_empty", "value_extracted", "label_missing")
+    assert one(spark, *[normalize.observation(labels, k) for k in "abc"]) == ("label_present_value_empty", "value_extracted", "label_not_found")
 
 
 def test_mentions_without_names(spark):
