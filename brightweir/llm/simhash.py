@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.llm.arrow import as_bytes, pieces
+from brightweir.operators.audit import met
 from brightweir.session import cut
 
 SEED = 42
@@ -266,8 +267,9 @@ def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     rows = rows.withColumnRenamed(id_col, "__id").groupBy("root", "__id", "node", F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("__id").isNull().alias("last"), "__id", "node", "__key")
     rows = cut(rows.select("root", "rows", order.alias("row")))
-    first = rows.groupBy("root").agg(F.min("row").alias("chosen"))
-    told = rows.join(first, "root").select("row.__id", "row.__key", "rows", (F.col("row") == F.col("chosen")).alias("stays"))
+    # Only roots with several rows meet their rows, in parts.
+    first = rows.groupBy("root").agg(F.min("row").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    told = met(rows, first, "root").select("row.__id", "row.__key", "rows", (F.col("chosen").isNull() | (F.col("row") == F.col("chosen"))).alias("stays"))
     gone = cut(told.where("NOT stays").select("__id", "__key"))
     keyed = docs.withColumn("__text_key", text_key(text_col))
     kept = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__text_key"] == gone["__key"]), "left_anti")
