@@ -8,7 +8,8 @@ words; a text is passed through it once. Matches end at word numbers, which are
 The benchmark comes to the driver in groups of at most ``max_bytes`` of item text, one group at a time; longer items are cut
 into pieces that overlap by ``window`` - 1 words. A group's text, not its automaton, is sent to the tasks; each worker builds
 it once (about 100 times the text, 400 MB at the default). With one group, the usual case, all is one pass over the texts
-without a shuffle; with more, each group is a job of its own that adds its hits, so that one automaton at a time is held.
+without a shuffle; with more, the rows are numbered in a table and each group is a job over the texts that writes the hits of
+the rows it finds, so that one automaton at a time is held and texts are written once.
 
 Null texts have no words. Items without words have no patterns. Items with equal ids count as one item; items whose id
 is null hit words but are not listed. Repeated rows each get their own result. Empty tables give empty results, and an
@@ -18,7 +19,9 @@ empty benchmark contaminates nothing. Other columns pass through where rows are
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.llm.arrow import appended, as_bytes
-from brightweir.session import cut
+from brightweir.session import scratch
 
 #: Word bytes in lower case, everything else a space; bytes from 0x80 on belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -128,50 +131,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Columns of these names are replaced."""
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
-    spark, out = docs.sparkSession, docs
-    runs_type, items_type = pa.list_(pa.int64()), pa.list_(pa.string())
-
-    def passed(group, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = None
-            for batch in batches:
-                n_words, runs, items = [], [], []
-                machine = machine or _machine(group, window)
-                for text in as_bytes(batch[text_col]):
-                    n, hit, found = machine.scan(text)
-                    n_words.append(n)
-                    runs.append(hit.ravel().tolist())
-                    items.append([x for x in found if x is not None])
-                if not first:
-                    runs = [a + b for a, b in zip(batch["__hit_runs"].to_pylist(), runs, strict=True)]
-                    items = [a + b for a, b in zip(batch["__hit_items"].to_pylist(), items, strict=True)]
-                    batch = batch.drop_columns(["n_words", "__hit_runs", "__hit_items"])
-                yield appended(batch, n_words=pa.array(n_words, pa.int64()), __hit_runs=pa.array(runs, runs_type), __hit_items=pa.array(items, items_type))
-
-        return run
-
-    schema = _ddl(docs) + ["n_words long", "__hit_runs array<long>", "__hit_items array<string>"]
-    first, before = True, None
-    for items in _groups(benchmark, item_col, item_text_col, window, max_bytes):
-        if before is not None:
-            out = cut(out.mapInArrow(passed(before, first), ", ".join(schema)))
-            before.unpersist()
-            first = False
-        before = spark.sparkContext.broadcast(items)
-    out = out.mapInArrow(passed(before, first), ", ".join(schema))
+    groups = _groups(benchmark, item_col, item_text_col, window, max_bytes)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        found = _scanned(docs, first, text_col, window)
+    else:
+        found = _scanned_in_turn(docs, itertools.chain([first, second], groups), text_col, window)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, counts, digests, spans = [], [], [], []
+            sizes, hits, counts, digests, spans = [], [], [], [], []
             for text, flat, items in zip(as_bytes(batch[text_col]), batch["__hit_runs"].to_pylist(), batch["__hit_items"].to_pylist(), strict=True):
                 runs = merged(np.array(flat, np.int64).reshape(-1, 2)) if flat else np.empty((0, 2), np.int64)
-                own = sorted(set(items))
+                own = sorted(set(items or ()))
+                sizes.append(len(words(text)))
                 hits.append(int((runs[:, 1] - runs[:, 0]).sum()))
                 counts.append(len(own))
                 digests.append(hashlib.sha256(",".join(own).encode()).hexdigest())
                 spans.append(original_spans(text, runs) if len(runs) else [])
             yield appended(
                 batch.drop_columns(["__hit_runs", "__hit_items"]),
+                n_words=pa.array(sizes, pa.int64()),
                 n_hit=pa.array(hits, pa.int64()),
                 n_items=pa.array(counts, pa.int64()),
                 items_sha256=pa.array(digests),
@@ -179,15 +159,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 hit_spans=pa.array(spans, _SPANS),
             )
 
-    return out.mapInArrow(finished, ", ".join([*_ddl(docs), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start: long, end: long>>"]))
+    return found.mapInArrow(finished, ", ".join([*_ddl(docs), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start: long, end: long>>"]))
+
+
+_RUNS, _ITEMS = pa.list_(pa.int64()), pa.list_(pa.string())
+
+
+def _scanned(docs: DataFrame, items: list[tuple], text_col: str, window: int) -> DataFrame:
+    """docs with what one group's automaton finds: __hit_runs (first and last word in turn) and __hit_items."""
+    group, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            machine, runs, items = _machine(key, group, window), [], []
+            for text in as_bytes(batch[text_col]):
+                _, hit, found = machine.scan(text)
+                runs.append(hit.ravel().tolist())
+                items.append([x for x in found if x is not None])
+            yield appended(batch, __hit_runs=pa.array(runs, _RUNS), __hit_items=pa.array(items, _ITEMS))
+
+    return docs.mapInArrow(run, ", ".join([*_ddl(docs), "__hit_runs array<long>, __hit_items array<string>"]))
+
+
+def _scanned_in_turn(docs: DataFrame, groups: Iterator[list[tuple]], text_col: str, window: int) -> DataFrame:
+    """As _scanned, over many groups: rows are numbered in a table once, and each group's job writes only the numbers and
+    findings of rows that it hits."""
+    spark, rows, hits = docs.sparkSession, scratch(docs.sparkSession, "rows"), scratch(docs.sparkSession, "hits")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(rows)
+    numbered = spark.read.parquet(rows)
+    for items in groups:
+        found = _scanned(numbered.select("__row", text_col), items, text_col, window)
+        found.where("size(__hit_runs) > 0").select("__row", "__hit_runs", "__hit_items").write.mode("append").parquet(hits)
+    one = spark.read.parquet(hits).groupBy("__row").agg(F.flatten(F.collect_list("__hit_runs")).alias("__hit_runs"), F.flatten(F.collect_list("__hit_items")).alias("__hit_items"))
+    return numbered.join(one, "__row", "left").select(*docs.columns, "__hit_runs", "__hit_items")
 
 
 _BUILT: dict = {}
 
 
-def _machine(group, window: int) -> Machine:
-    """The group's automaton, built once a worker process; an earlier one is let go."""
-    key = (id(group.value), window)
+def _machine(key: str, group, window: int) -> Machine:
+    """The group's automaton, built once a worker process; an earlier one is let go. The driver names the group, as an address
+    may come back for another one's list."""
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Machine(group.value, window)

@@ -230,6 +230,27 @@ def test_decontamination(spark, max_bytes):
     assert none.where("contaminated").count() == 0
 
 
+def test_groups_in_turn_in_one_worker():
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    for i in range(200):  # lists that are freed and built anew at the same address
+        machine = decontaminate._machine(f"group {i}", Held([(i, b"one w%d two" % i)]), 3)
+        assert machine.scan(b"so one w%d two" % i)[2] == {i}
+
+
+def test_fifty_groups_are_as_one(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame(list(enumerate(rng_texts(5, 60, words, 30))), "item_id long, text string")
+    docs = docs_of(spark, [*rng_texts(6, 200, words, 60), None, ""])
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    key = lambda df: sorted(map(str, df.collect()))
+    one = decontaminate.contamination(docs, items, window=3)
+    assert one.where("contaminated").count() > 5
+    assert key(decontaminate.contamination(docs, items, window=3, max_bytes=100)) == key(one)
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def test_archives(spark, tmp_path):
     html = ["<p>a</p>", "b" * 5000, None, "", "<p>a</p>", "é", "b" * 5000, "<p>a</p>"]
