@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightweir.llm import decontaminate, language_id, mixing, quality, secrets, simhash, suffix_dedup, token_store, toxicity, warc
+from brightweir.llm import bpe, collocations, decontaminate, filter_audit, language_id, mixing, quality, secrets, simhash, suffix_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_token_store": token_store.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_filter_audit": filter_audit.op11,
+    "op12_bpe": bpe.op12,
+    "op13_collocations": collocations.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
