@@ -10,8 +10,10 @@ words, until one of the two is 0 or 1. Which way goes is drawn so that probabili
 document is left and trades with the next. Blocks of about ``block`` documents are gone through in this way, the largest
 first; what is left of a block goes up a tree of blocks, a level a job, until a source has one fractional document left,
 whose rounding is the only departure from the target. So that this one is small, documents of over 1 / ``heads`` of their
-source (``heads`` of them at most) are one block and are settled first, to the last; what that moved is made up for by
-the other documents' probabilities before they are paired. Draws are hashes of the rows, so reruns agree.
+source (``heads`` of them at most) come before, the largest first: each trades with the pool of all smaller documents of its
+source, whose probabilities all move together, until it is 0 or 1 itself. Where the pool cannot bear one of the two ways,
+the other is taken. So the document whose rounding departs from the target is among the smallest, in a source of a few
+documents as well. Draws are hashes of the rows, so reruns agree.
 
 Equal rows (id, source, size) are one entry whose copies are dealt evenly, so many repeats of a row are no hot block.
 Blocks are by hash within a source, so a source with a third of all rows has more blocks, not larger ones. Entries are told
@@ -85,6 +87,34 @@ def _level(entries: DataFrame, salt: int) -> DataFrame:
     return blocks.select("src", "block", F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, step).alias("r")).select("src", "block", "r.left", "r.done")
 
 
+def _heads(entries: DataFrame, pool: DataFrame, salt: int) -> DataFrame:
+    """entries (src, key, p, s), a few a source, and pool (src, s0, s1: words and wanted words of all entries of the source):
+    (src, done, a, b), with p * a + b for what is wanted of the others then."""
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "key", "p", "s", _draw(F.lit(salt), "key").alias("u"))))
+    rows = entries.groupBy("src").agg(ordered.alias("all")).join(pool, "src")
+    zero = F.lit(0.0)
+
+    def step(acc: Column, x: Column) -> Column:
+        s0, s1 = acc["s0"] - x["s"], acc["s1"] - x["p"] * x["s"]
+        p = F.least(F.greatest(acc["a"] * x["p"] + acc["b"], zero), F.lit(1.0))
+        down = F.greatest(acc["a"] * s1 + acc["b"] * s0, zero)
+        return F.struct(s0.alias("s0"), s1.alias("s1"), acc["a"].alias("a"), acc["b"].alias("b"), acc["done"].alias("done"), x["key"].alias("key"), x["u"].alias("u"), p.alias("p"), ((1 - p) * x["s"]).alias("up_by"), (p * x["s"]).alias("down_by"), down.alias("down"), F.greatest(s0 - down, zero).alias("up"))
+
+    def traded(t: Column) -> Column:
+        can_rise, can_fall = t["up_by"] <= t["down"] + 1e-6, t["down_by"] <= t["up"] + 1e-6
+        rise = F.when(can_rise & can_fall, t["u"] < t["p"]).when(can_rise | can_fall, can_rise).otherwise(t["up_by"] - t["down"] < t["down_by"] - t["up"])
+        given = F.when(rise, F.when(t["down"] > 0, F.least(t["up_by"] / t["down"], F.lit(1.0)))).otherwise(F.when(t["up"] > 0, F.least(t["down_by"] / t["up"], F.lit(1.0))))
+        k = F.coalesce(given, zero)
+        one = F.array(F.struct(t["key"].alias("key"), rise.cast("int").alias("more")))
+        return F.struct(t["s0"].alias("s0"), t["s1"].alias("s1"), (t["a"] * (1 - k)).alias("a"), (t["b"] * (1 - k) + F.when(rise, zero).otherwise(k)).alias("b"), F.concat(t["done"], one).alias("done"))
+
+    none = F.expr("CAST(array() AS array<struct<key: struct<a: bigint, b: bigint>, more: int>>)")
+    start = F.struct(F.col("s0"), F.col("s1"), F.lit(1.0).alias("a"), zero.alias("b"), none.alias("done"))
+    # The trade is an array's element, so that what it reads is computed once.
+    found = rows.select("src", F.aggregate("all", start, lambda acc, x: F.transform(F.array(step(acc, x)), traded)[0]).alias("r"))
+    return found.select("src", "r.done", "r.a", "r.b")
+
+
 def copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, block: int = 128, heads: int = 400) -> DataFrame:
     """sizes (id, source, size): (id, source, size, c, source_size, target, extra); a row for each different (id, source,
     size), c equal rows that are taken extra times in all."""
@@ -103,14 +133,12 @@ def copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     part = placed.where("size > 0 AND p > 1e-9").select("src", "n", "key", "p", F.col("size").cast("double").alias("s"), (F.col("size") * F.lit(heads) > F.col("source_size")).alias("head"))
     block_of = F.pmod(F.xxhash64(F.lit(seed), "key"), F.ceil(F.col("n") / block))
     # Keys settled as taken once more; all others are not.
-    first = cut(_level(part.where("head").withColumn("block", F.lit(0).cast("long")), seed * 1000 + 999))
-    last = first.select("src", "left.key", "left.p", "left.s", (_draw(F.lit(seed), F.lit(-1), "left.key") < F.col("left.p")).cast("int").alias("more"))
-    settled = [first.select(F.explode("done").alias("d")).select("d.key", "d.more"), last.select("key", "more")]
-    light = part.where("NOT head")
-    room = light.groupBy("src").agg(F.sum(F.col("p") * F.col("s")).alias("down"), F.sum((1 - F.col("p")) * F.col("s")).alias("up"))
-    moved = cut(last.select("src", ((F.col("more") - F.col("p")) * F.col("s")).alias("d")).join(room, "src"))
-    light = light.join(F.broadcast(moved) if n_sources <= 10_000 else moved, "src", "left")
-    p = F.when(F.col("d") > 0, F.col("p") * (1 - F.least(F.col("d") / F.col("down"), F.lit(1.0)))).when(F.col("d") < 0, F.col("p") + (1 - F.col("p")) * F.least(-F.col("d") / F.col("up"), F.lit(1.0))).otherwise(F.col("p"))
+    pool = part.groupBy("src").agg(F.sum("s").alias("s0"), F.sum(F.col("p") * F.col("s")).alias("s1"))
+    first = cut(_heads(part.where("head"), pool, seed * 1000 + 999))
+    settled = [first.select(F.explode("done").alias("d")).select("d.key", "d.more")]
+    moved = first.select("src", "a", "b")
+    light = part.where("NOT head").join(F.broadcast(moved) if n_sources <= 10_000 else moved, "src", "left")
+    p = F.least(F.greatest(F.coalesce(F.col("p") * F.col("a") + F.col("b"), F.col("p")), F.lit(0.0)), F.lit(1.0))
     part = light.select("src", block_of.alias("block"), "key", p.alias("p"), "s")
     blocks = max(1, math.ceil((largest or 0) / block))
     for depth in range(99):
