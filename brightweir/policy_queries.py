@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from brightweir.catalog_queries import _query, _tree
 from brightweir.functions import parsing, periods, text
-from brightweir.operators import audit, decide, display, gates, integrity, normalize, search, snapshot, validate, verdict
-from brightweir.session import cut, table
+from brightweir.operators import audit, decide, display, gates, integrity, normalize, postings, search, snapshot, validate, verdict
+from brightweir.session import cut, scratch, table
 
 TODAY = "1996-06-15"
 
@@ -60,8 +60,31 @@ s AS (SELECT id, age_verdict, category_verdict, region_verdict, CAST(1 + 2 * ((h
 _FULL_ORDER = "score DESC, preference_matches DESC, preference_unknowns, region_group, region_breadth, unknown_count, status_rank, id"
 
 
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark, d, name: str, write) -> str:
+    """Path of a derived table, written once a session and folder: searches read it, they don't build it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        path = scratch(spark, name)
+        write(path)
+        _KEPT[key] = path
+    return _KEPT[key]
+
+
+def projection(spark, d) -> DataFrame:
+    """The policies with their search texts, as persisted."""
+    return spark.read.parquet(_kept(spark, d, "projection", lambda path: search.search_document(policies(spark, d)).write.parquet(path)))
+
+
+def index(spark, d) -> str:
+    """Postings of the projection's texts."""
+    return _kept(spark, d, "postings", lambda path: postings.add(projection(spark, d), path, ["search_text", "title", "summary"], 0))
+
+
 def _evaluated(spark, d) -> DataFrame:
-    rows = cut(search.search_document(policies(spark, d)))  # a table of its own wherever search runs
+    rows = projection(spark, d)
     reason = F.when(F.col("scope") == "nationwide", "nationwide").when(F.col("scope") == "unknown", "policy_unknown").otherwise("exact")
     v = F.when(F.col("scope") == "nationwide", "match").when(F.col("scope") == "unknown", "unknown").when((F.col("id") % 7).isin(2, 3), "match").otherwise("mismatch")
     regions = rows.select(F.col("id").alias("policy"), v.alias("verdict"), reason.alias("reason"))
