@@ -1,11 +1,12 @@
 """Phrases whose words occur together more often than apart, by language.
 
-Texts are cut into pieces at punctuation and pieces into words; all n-grams of 1 to ``max_n`` words become rows (language,
-phrase, n, count) and are summed by a hash aggregation, a slice of text being summed up before its rows leave the task. Three
-passes keep the rows few without losing any: a phrase that occurs ``min_count`` times holds no rarer part, so pairs are made
-of frequent words alone and longer n-grams of frequent pairs. Whether a word or pair may be frequent is looked up in a bitmap
-of hashes, 16 bits for each one and at most ``filter_bytes``; where several share a bit, more rows are counted than need be,
-and the exact counts decide. A bitmap too small for the corpus costs time, never a phrase.
+Texts are cut into pieces at punctuation and pieces into words; n-grams of 1 to ``max_n`` words become rows (language, phrase,
+n, count) and are summed by a hash aggregation, a slice of text being summed up before its rows leave the task. Three passes
+keep the rows few without losing any, as a phrase that occurs ``min_count`` times holds no rarer part: the first counts words;
+the second counts pairs of frequent words by 64-bit hashes, which says which pairs can be frequent; the third counts all
+n-grams from 2 words on whose pairs can be. Whether a word or pair may be frequent is looked up in a bitmap of hashes, 16 bits
+for each one and at most ``filter_bytes``; where several share a hash or bit, more rows are counted than need be, and the
+exact counts of words and of the third pass decide. A bitmap too small for the corpus costs time, never a phrase.
 
 Candidates are then cut at every place and meet the counts of both sides in joins, salted as a frequent word may stand in very
 many candidates; scores are whole numbers from decimals. A candidate goes if a one-word extension is as frequent (a longer
@@ -37,40 +38,26 @@ _MARKS, _END = r"[.,;:!?\x0A-\x0D]", "."
 _COUNTS = "lang string, phrase string, n int, f long"
 
 
-def _hashes(lang: str, phrases: list[str], bits: int) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang)
-    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases)) % np.uint64(bits)
-
-
-class Bitmap:
-    """A bit for the hash of each phrase given."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def may_hold(self, lang: str, phrases: list[str]) -> np.ndarray:
-        at = _hashes(lang, phrases, len(self.words) * 64)
-        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+def bitmap(hashes: DataFrame, most_bytes: int) -> Broadcast:
+    """Words of a bitmap with a bit for each h (long) of a table, merged by Spark; at most ``most_bytes`` come to the driver."""
+    n_words = int(min(most_bytes // 8, max(1024, hashes.count() // 4)))
+    at = F.pmod("h", F.lit(n_words * 64))
+    found = hashes.select(F.floor(at / 64).alias("at"), F.expr(f"shiftleft(1L, CAST(pmod(h, {n_words * 64}) % 64 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(n_words, np.uint64)
+    words[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(words)
 
 
-def bitmap(phrases: DataFrame, most_bytes: int) -> Broadcast:
-    """The Bitmap of a table (lang, phrase), set in tasks and merged by Spark; at most ``most_bytes`` come to the driver."""
-    n_words = int(min(most_bytes // 8, max(1024, phrases.count() // 4)))
+def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    at = (h % np.int64(len(words) * 64)).view(np.uint64)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for lang in pc.unique(batch["lang"]).to_pylist():
-                at = _hashes(lang, t.filter(pc.equal(t["lang"], lang))["phrase"].to_pylist(), n_words * 64)
-                at = np.unique(at)
-                where, start = np.unique(at >> np.uint64(6), return_index=True)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start)
-                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(bits.view(np.int64))], ["at", "bits"])
 
-    found = phrases.mapInArrow(placed, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(n_words, np.uint64)
-    words[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(words)
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
 class Slice:
@@ -78,27 +65,25 @@ class Slice:
 
     def __init__(self, texts: pa.Array):
         cut = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), _MARKS, f" {_END} ")
-        parts = pc.split_pattern_regex(pc.binary_join_element_wise(cut, pa.scalar(_END), " "), r"[\x20\x09]+")
-        flat = parts.flatten()
+        flat = pc.ascii_split_whitespace(pc.binary_join_element_wise(cut, pa.scalar(_END), " ")).flatten()
         words = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
         self.words: pa.Array = words.dictionary
         self.at = words.indices.to_numpy().astype(np.int64)
-        edge = pc.index(self.words, _END).as_py()
-        self.inner = self.at != edge
-        self.edge = edge
-
-    def grams(self, most: int, ok: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For n from 2: (n, places of all n-grams within pieces whose words are ok, numbers of their phrases, first place of each)."""
-        starts = np.flatnonzero(ok[self.at])
-        number = self.at[starts]
-        for n in range(2, most + 1):
-            last = starts + n - 1
-            inside = last < len(self.at)
-            starts, number, last = starts[inside], number[inside], last[inside]
-            inside = ok[self.at[last]]
-            starts, number, last = starts[inside], number[inside], last[inside]
-            _, first, number = np.unique(number * (len(self.words) + 1) + self.at[last], return_index=True, return_inverse=True)
-            yield n, starts, number, starts[first]
+        self.edge = pc.index(self.words, _END).as_py()
+
+    def hashes(self, lang: str) -> np.ndarray:
+        """Of the different words, as xxhash64(lang, word) is in Spark."""
+        seed = xxhash.xxh64_intdigest(lang, 42)
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words.to_pylist()), np.uint64, len(self.words)).view(np.int64)
+
+    def pairs(self, lang: str, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of pairs of words that may be frequent, hashes of these pairs)."""
+        h = self.hashes(lang)
+        ok = may_hold(frequent, h)
+        ok[self.edge] = False
+        ok = ok[self.at]
+        starts = np.flatnonzero(ok[:-1] & ok[1:])
+        return starts, _pair_hash(h[self.at[starts]], h[self.at[starts + 1]])
 
     def phrases(self, first: np.ndarray, n: int) -> pa.Array:
         return pc.binary_join_element_wise(*[self.words.take(pa.array(self.at[first + k])) for k in range(n)], " ")
@@ -109,8 +94,8 @@ def _rows(lang: str, phrases: pa.Array, n: int, f: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), k), phrases, pa.repeat(pa.scalar(n, pa.int32()), k), pa.array(f.astype(np.int64))], ["lang", "phrase", "n", "f"])
 
 
-def _summed(docs: DataFrame, of_slice) -> DataFrame:
-    """Rows of of_slice(lang, Slice) over all texts, summed."""
+def _sliced(docs: DataFrame, of_slice, schema: str) -> DataFrame:
+    """Rows of of_slice(lang, Slice) over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _tables(batches):
@@ -119,7 +104,11 @@ def _summed(docs: DataFrame, of_slice) -> DataFrame:
                 yield from of_slice(lang, Slice(texts))
 
     narrow = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return narrow.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
+    return narrow.mapInArrow(run, schema)
+
+
+def _summed(docs: DataFrame, of_slice) -> DataFrame:
+    return _sliced(docs, of_slice, _COUNTS).groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
 
 
 def _tables(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.Table]:
@@ -144,12 +133,6 @@ def _words_of(lang: str, s: Slice) -> Iterator[pa.RecordBatch]:
     yield _rows(lang, s.words.take(pa.array(some)), 1, f[some])
 
 
-def _ok(s: Slice, lang: str, frequent: np.ndarray) -> np.ndarray:
-    ok = Bitmap(frequent).may_hold(lang, s.words.to_pylist())
-    ok[s.edge] = False
-    return ok
-
-
 def phrase_counts(docs: DataFrame, max_n: int = 5, min_count: int = 100, filter_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(all words with their counts; phrases of 1 to max_n words that occur min_count times at least), each (lang, phrase, n, f)."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "phrases")
@@ -160,38 +143,31 @@ def phrase_counts(docs: DataFrame, max_n: int = 5, min_count: int = 100, filter_
 
     words = written("words", _summed(docs, _words_of))
     often = words.where(F.col("f") >= min_count)
-    singles = bitmap(often, filter_bytes)
+    if max_n < 2:
+        return words, often
+    singles = bitmap(often.select(F.xxhash64("lang", "phrase").alias("h")), filter_bytes)
 
     def pairs_of(lang: str, s: Slice) -> Iterator[pa.RecordBatch]:
-        for n, _, number, first in s.grams(2, _ok(s, lang, singles.value)):
-            yield _rows(lang, s.phrases(first, n), n, np.bincount(number, minlength=len(first)))
-
-    frequent = often
-    if max_n > 1:
-        pairs = written("pairs", _summed(docs, pairs_of).where(F.col("f") >= min_count))
-        frequent = frequent.unionByName(pairs)
-    if max_n > 2:
-        doubles = bitmap(pairs, filter_bytes)
-
-        def longer_of(lang: str, s: Slice) -> Iterator[pa.RecordBatch]:
-            yield from _longer(s, lang, _ok(s, lang, singles.value), doubles.value, max_n)
-
-        frequent = frequent.unionByName(written("longer", _summed(docs, longer_of).where(F.col("f") >= min_count)))
-    return words, frequent
-
-
-def _longer(s: Slice, lang: str, ok: np.ndarray, doubles: np.ndarray, max_n: int) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams of 3 words and more whose pairs are all in the bitmap."""
-    _, starts, number, first = next(s.grams(2, ok))
-    held = Bitmap(doubles).may_hold(lang, s.phrases(first, 2).to_pylist())
-    pair = np.zeros(len(s.at) + 1, bool)  # whether a pair in the bitmap starts here
-    pair[starts] = held[number]
-    label = np.zeros(len(s.at) + 1, np.int64)
-    label[starts] = number
-    starts = np.flatnonzero(pair)
-    number = label[starts]
-    for n in range(3, max_n + 1):
-        on = pair[starts + n - 2]
+        h, f = np.unique(s.pairs(lang, singles.value)[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(f.astype(np.int64))], ["h", "f"])
+
+    pairs = written("pairs", _sliced(docs, pairs_of, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h"))
+    doubles = bitmap(pairs, filter_bytes)
+
+    def phrases_of(lang: str, s: Slice) -> Iterator[pa.RecordBatch]:
+        starts, h = s.pairs(lang, singles.value)
+        yield from _phrases(s, lang, starts[may_hold(doubles.value, h)], max_n)
+
+    return words, often.unionByName(written("longer", _summed(docs, phrases_of).where(F.col("f") >= min_count)))
+
+
+def _phrases(s: Slice, lang: str, pairs: np.ndarray, max_n: int) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams of 2 words and more, all of whose pairs start at the places given."""
+    paired = np.zeros(len(s.at) + max_n, bool)
+    paired[pairs] = True
+    starts, number = pairs, s.at[pairs]
+    for n in range(2, max_n + 1):
+        on = paired[starts + n - 2]
         starts, number = starts[on], number[on]
         if not len(starts):
             return
