@@ -391,8 +391,8 @@ def parsed_period(spark, d):
     dot, flat, month = (lambda c: F.date_format(c, "yyyy.MM.dd")), (lambda c: F.date_format(c, "yyyyMMdd")), (lambda c: F.date_format(c, "yyyy년 M월"))
     ways = [F.concat_ws(" ~ ", dot(s), dot(e)), F.concat(dot(s), F.lit(" 부터")), F.concat(flat(s), F.lit("까지")), F.concat_ws("~", month(s), month(e)), F.lit("상시 접수"), F.concat_ws("~", dot(e), dot(s)), F.concat_ws(" ~ ", flat(s), flat(e), flat(e)), F.lit("추후 공지")]
     written = F.element_at(F.array(*ways), (k + 1).cast("int"))
-    parsed = parsing.period(written, F.lit(AS_OF).cast("date"))
-    return table(spark, d, "orders").select("o_orderkey", parsed.alias("p")).select("o_orderkey", F.col("p.start").alias("start_day"), F.col("p.end").alias("end_day"), "p.schedule", "p.status", "p.issue")
+    rows = table(spark, d, "orders").select("o_orderkey", written.alias("text"))
+    return parsing.each_once(rows, "text", "p", lambda c: parsing.period(c, F.lit(AS_OF).cast("date"))).select("o_orderkey", F.col("p.start").alias("start_day"), F.col("p.end").alias("end_day"), "p.schedule", "p.status", "p.issue")
 
 
 @_query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size AS n FROM part)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words of the source texts.
@@ -15,9 +15,9 @@ YEAR, MONTH, DAY = "년", "월", "일"
 # Formats of a day: 2026.1.5, 2026-01-05, 2026/1/5 with blanks, or eight digits in a row; in some sources 2026년 1월 5일 as well.
 _DAY_TOKEN = r"(?<!\d)(?:\d{4}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{1,2}|\d{8})(?!\d)"
 _DAY_TOKEN_IN_WORDS = rf"(?<!\d)(?:\d{{4}}\s*[{YEAR}./-]\s*\d{{1,2}}\s*[{MONTH}./-]\s*\d{{1,2}}|\d{{8}})(?!\d)"
-# Formats of a range of months: 2025년 12월 ~ 2026년 2월, 2026.1~3.
-_YEAR_OF = rf"\d{{4}}\s*[{YEAR}./-]\s*"
-_MONTH_TOKEN = rf"(?<!\d)({_YEAR_OF}\d{{1,2}})[{MONTH}.]?\s*~\s*((?:{_YEAR_OF})?\d{{1,2}})[{MONTH}.]?(?!\d)"
+# A range of months as kinds of tokens, Y a number of four digits and m one of one or two: 2025년 12월 ~ 2026년 2월, 2026.1~3.
+_TOKEN = r"\d+|\s+|\S"
+_MONTHS_SHAPE = f"Y ?[{YEAR}./-] ?m[{MONTH}.]? ?~ ?(?:Y ?[{YEAR}./-] ?)?m"
 _AGE_NUMBER = r"(?<!\d)\d{1,3}(?!\d)"
 
 PERIOD = "struct<start: date, end: date, schedule: string, status: string, issue: string>"
@@ -29,6 +29,12 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def each_once(rows: DataFrame, text: str, name: str, parse: Callable[[Column], Column]) -> DataFrame:
+    """rows with parse(text) under a name, each different text parsed once: sources write few periods in very many rows."""
+    parsed = rows.select(F.col(text).alias("__text")).distinct().withColumn(name, parse(F.col("__text")))
+    return rows.join(parsed, F.col(text).eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
 def _date(token: Column) -> Column:
     """Null if there is no such day."""
     parts = F.regexp_extract_all(token, F.lit(r"\d+"), F.lit(0))
@@ -42,18 +48,33 @@ def days(text: Column, in_words: bool = False) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_DAY_TOKEN_IN_WORDS if in_words else _DAY_TOKEN), F.lit(0)), _date)
 
 
+def _kind(token: Column) -> Column:
+    number = F.length(token)
+    return (
+        F.when(token.rlike("^[0-9]"), F.when(number == 4, "Y").when(number <= 2, "m").otherwise("n"))
+        .when(F.trim(token) == "", " ")
+        .when(token.isin(*f"{YEAR}{MONTH}./-~"), token)
+        .otherwise(F.when(token.rlike(r"(?U)^\s"), " ").otherwise("x"))
+    )
+
+
 def months(text: Column) -> Column:
     """struct<given: boolean, start: date, end: date> of the first range of months: first day to last day."""
-    numbers = lambda k: F.regexp_extract_all(F.regexp_extract(text, _MONTH_TOKEN, k), F.lit(r"\d+"), F.lit(0))
+    tokens = F.when(text.contains("~"), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    first = lambda y, m: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lit("01")).try_cast("date")
+
+    def found(t: Column) -> Column:
+        shape = F.array_join(F.transform(t, _kind), "")
+        own = F.regexp_extract(shape, _MONTHS_SHAPE, 0)
+        numbers = F.filter(F.slice(t, F.greatest(F.regexp_instr(shape, F.lit(_MONTHS_SHAPE)), F.lit(1)), F.length(own)), lambda x: x.rlike("^[0-9]"))
+        return F.struct((own != "").alias("given"), numbers.alias("n"))
 
-    def made(a: Column, b: Column) -> Column:
-        first = lambda y, m: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lit("01")).try_cast("date")
-        year = F.get(a, F.lit(0))
-        start = first(year, F.get(a, F.lit(1)))
-        end = F.last_day(F.when(F.size(b) == 2, first(F.get(b, F.lit(0)), F.get(b, F.lit(1)))).otherwise(first(year, F.get(b, F.lit(0)))))
-        return F.struct((F.size(a) > 0).alias("given"), start.alias("start"), end.alias("end"))
+    def made(given: Column, n: Column) -> Column:
+        at = lambda i: F.get(n, F.lit(i))
+        end = F.when(F.size(n) == 4, first(at(2), at(3))).when(F.size(n) == 3, first(at(0), at(2)))
+        return F.struct(given.alias("given"), F.when(given, first(at(0), at(1))).alias("start"), F.last_day(end).alias("end"))
 
-    return once(F.struct(numbers(1).alias("a"), numbers(2).alias("b")), lambda x: made(x["a"], x["b"]))
+    return once(once(tokens, found), lambda x: made(x["given"], x["n"]))
 
 
 def _row(kind: str, **values: Column | str | None) -> Column:

@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 
 # Keys whose values are never logged.
 REDACTED = ("pin", "token", "password", "secret", "api_key", "authorization", "raw_document", "raw_payload", "sql_parameter", "sql_parameters")
+# Formats of days in free texts: 2026-1-5 with blanks; '26년 1월 5일, 2026년 상반기 1.5 and the like.
+DAY_IN_MARKS = r"(?<!\d)(?:19|20)\d{2}(?:\s*[./-]\s*\d{1,2}){2}(?!\d)"
+DAY_IN_WORDS = r"(?<!\d)(?:19|20)?\d{2}\s*년[^\n]{0,40}?\d{1,2}(?:\s*[./]|\s*월)\s*\d{1,2}(?!\d)"
 # Related searches by what triggers them; the triggers are the suggestions.
 RELATED = (("주거", "월세", "전세", "청년주택"), ("취업", "일자리", "구직"), ("창업", "스타트업"), ("교육", "장학금"))
 
 
+# What a sentence ends with, and the marks that set items of a text apart.
+SENTENCE_ENDS = (".", "!", "?", "다", "요")
+NOTE, BULLETS, CIRCLES = "※", "•*–-", "○●◦"
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def list_title(c: Column) -> Column:
-    """A list's title without the mark for new entries or their age in days."""
-    return F.regexp_replace(squeezed(c), r"(?i)\s+(?:new|\d+일전)$", "")
+    """A list's title without its last word if that marks a new entry or tells its age in days."""
+    words = F.split(squeezed(c), " ")
+    last = F.lower(F.element_at(words, -1))
+    return F.when((F.size(words) > 1) & ((last == "new") | last.rlike(r"^\d+일전$")), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(F.array_join(words, " "))
+
+
+def sentences(c: Column) -> Column:
+    """Sentences of a text: words are added to the last one until it ends."""
+    last = lambda acc: F.element_at(acc, -1)
+    ended = lambda x: F.substring(x, -1, 1).isin(*SENTENCE_ENDS)
+    start = F.expr("CAST(array() AS array<string>)")
+    grown = lambda acc, w: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last(acc), w)))
+    return F.aggregate(F.split(squeezed(c), " "), start, lambda acc, w: F.when((F.size(acc) == 0) | ended(F.try_element_at(acc, F.lit(-1))), F.array_append(acc, w)).otherwise(grown(acc, w)))
 
 
 def sentence_with(c: Column, token: str) -> Column:
     """The first sentence that contains the token."""
-    return F.get(F.filter(F.transform(F.split(c, r"(?<=[.!?다요])\s+"), squeezed), lambda x: x.contains(token)), F.lit(0))
+    return F.get(F.filter(sentences(c), lambda x: x.contains(token)), F.lit(0))
 
 
 def period_text(start: Column, end: Column) -> Column:
@@ -38,34 +57,38 @@ def expanded(c: Column, phrases: dict[str, str]) -> Column:
 
 
 def section_key(line: Column, names: dict[str, str]) -> Column:
-    """The section that a line is the header of, without bullets and a bracket at the end; null for other lines."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(line, r"^[○●◦*\-\s]+", "")), r"\([^)]*\)$", ""))
+    """The section that a line is the header of, without bullets before it and a bracket at its end; null for other lines."""
+    bare = F.regexp_extract(line, rf"^[{CIRCLES}*\s-]*(.*?)\s*(?:\([^)]*\))?\s*$", 1)
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[bare]
 
 
-def display_lines(c: Column) -> Column:
-    """Visible text for a page: no tags, single blanks, at most one empty line in a row."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]*>", "")
-    for pattern, by in ((" ", " "), ("\r\n", "\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
-        t = F.regexp_replace(t, pattern, by)
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+def shown_lines(c: Column) -> Column:
+    """Lines of a fragment without its tags, blanks squeezed; empty lines are empty strings."""
+    return F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", ""), "\n"), squeezed)
 
 
-def circle_items(c: Column) -> Column:
-    """Items of a text that circles set apart; a text without them is one item."""
-    return F.filter(F.transform(F.split(display_lines(c), r"\s*[○●◦]\s*"), F.trim), lambda x: x != "")
+def shown_text(c: Column) -> Column:
+    """Text for a page: its lines, with one empty line where there were several."""
+    lines = shown_lines(c)
+    kept = F.filter(lines, lambda x, i: (x != "") | ((i > 0) & (F.get(lines, i - 1) != "")))
+    return F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")
 
 
 def items(c: Column) -> Column:
-    """Items of a text: numbered lines, else parts after notice marks, else lines without bullets, else parts between semicolons."""
-    text = display_lines(c)
-    some = lambda parts: F.filter(F.transform(parts, F.trim), lambda x: x != "")
-    lines = some(F.split(text, "\n+"))
-    numbered = F.transform(F.filter(lines, lambda x: x.rlike(r"^\d+[.)]\s")), lambda x: F.trim(F.regexp_replace(x, r"^\d+[.)]\s*", "")))
-    notices = some(F.split(text, r"\s*※\s*"))
-    bullets = some(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.;!?])\s+(?=[•\-–*])"))), lambda x: F.regexp_replace(x, r"^[\s•\-–*]+", "")))
-    parts = some(F.split(text, r"\s*;\s*|\s+/\s+"))
-    return F.when(F.size(numbered) >= 2, numbered).when(F.size(notices) >= 2, notices).when(F.size(bullets) >= 2, bullets).when(F.size(parts) >= 2, parts).otherwise(bullets)
+    """Items of a text by the kind of mark that tells at least two of them apart: numbers before lines, notes, lines with or
+    without bullets, semicolons or slashes. A text of which no mark makes two is one item."""
+    lines = F.filter(shown_lines(c), lambda x: x != "")
+    parted = lambda x, marks: F.filter(F.transform(F.split(x, marks), lambda y: F.trim(y)), lambda y: y != "")
+    # A bullet after the end of a sentence begins a line of its own.
+    broken = F.regexp_replace(F.array_join(lines, "\n"), rf"([.;!?]) (?=[{BULLETS}])", "$1\n")
+    plain = F.filter(F.transform(F.split(broken, "\n"), lambda x: F.ltrim(x, F.lit(BULLETS + " "))), lambda y: y != "")
+    by_mark = F.array(
+        F.array_compact(F.transform(lines, lambda x: F.nullif(F.regexp_extract(x, r"^\d+[.)] (.+)$", 1), F.lit("")))),
+        parted(F.array_join(lines, "\n"), NOTE),
+        plain,
+        parted(F.array_join(lines, "\n"), r";| / "),
+    )
+    return F.coalesce(F.get(F.filter(by_mark, lambda x: F.size(x) >= 2), F.lit(0)), plain)
 
 
 def related_searches(q: Column, groups: tuple[tuple[str, ...], ...] = RELATED) -> Column:
@@ -87,8 +110,9 @@ def keyword_values(text: Column, rules: dict[str, tuple[str, ...]], other: str |
 
 
 def names_a_date(text: Column) -> Column:
-    """Whether a free text has a day or a month of a year in it."""
-    return F.coalesce(text.rlike(r"(?<!\d)(?:19|20)\d{2}\s*(?:[.\-/년]\s*\d{1,2}|\d{4}(?!\d))"), F.lit(False))
+    """Whether a free text names a day: year, month and day with marks between them, or a year in words (of two digits as well)
+    and a month and day up to forty characters after it on its line."""
+    return F.coalesce(text.rlike(DAY_IN_MARKS) | text.rlike(DAY_IN_WORDS), F.lit(False))
 
 
 def region_level(code: Column) -> Column:

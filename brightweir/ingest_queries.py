@@ -227,7 +227,7 @@ def wordings(spark, d):
         wording.section_key(pick("○ Target (all)", "Target us", "- Method"), {"Target": "who", "Method": "how"}).alias("section"),
         j(wording.items(pick("1. one\n2) two\nmore", "※ x ※ y", "<p>plain</p>"))).alias("items"),
         j(wording.related_searches(pick("주거 지원", "전혀", "일자리 교육"))).alias("related"),
-        wording.names_a_date(pick("from 2026.1.5 on", "call 02-2026", "none")).alias("dated"),
+        wording.names_a_date(pick("from 2026.1.5 on", "call 02-2026", "2024.5")).alias("dated"),
         F.replace(wording.messages(F.array(F.lit("a"), F.lit("x"), F.lit("b")), {"a": "A", "b": "B"}), F.lit(" "), F.lit("|")).alias("messages"),
         j(wording.keyword_values(pick("취업 상담", "기타", "진로 교육"), {"job": ("취업", "진로"), "edu": ("교육", "강의")}, "etc")).alias("words"),
     )

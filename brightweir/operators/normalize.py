@@ -170,18 +170,29 @@ def availability(text: Column, as_of: Column, scope_is_open: Column | None = Non
     return parsing.once(F.struct(days.alias("d"), months.alias("m")), lambda x: settled(x["d"], x["m"]))
 
 
+#: A day at the end of what stands before a tilde, with a few words after it, and one at the start of what stands behind.
+_DAY_BEFORE = r"(20\d{2})[./-]\s*(\d{1,2})[./-]\s*(\d{1,2})[^|]{0,30}$"
+_DAY_BEHIND = r"^\s*(?:(20\d{2})[./-]\s*)?(\d{1,2})[./-]\s*(\d{1,2})"
+
+
 def ranges(text: Column) -> Column:
-    """Date ranges with a tilde; the end's year may be left out. Impossible and reversed ones are dropped."""
-    number = r"\d{1,2}"
-    whole = rf"20\d{{2}}[./-]\s*{number}[./-]\s*{number}[^~|]{{0,30}}~\s*(?:20\d{{2}}[./-]\s*)?{number}[./-]\s*{number}"
-    parts = rf"^(20\d{{2}})[./-]\s*({number})[./-]\s*({number})[^~|]{{0,30}}~\s*(?:(20\d{{2}})[./-]\s*)?({number})[./-]\s*({number})$"
-    group = lambda x, k: F.regexp_extract(x, parts, k)
-    day = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
-    made = F.transform(
-        F.regexp_extract_all(text, F.lit(whole), F.lit(0)),
-        lambda x: F.struct(day(group(x, 1), group(x, 2), group(x, 3)).alias("start"), day(F.coalesce(F.nullif(group(x, 4), F.lit("")), group(x, 1)), group(x, 5), group(x, 6)).alias("end")),
-    )
-    return F.filter(made, lambda r: F.coalesce(r["start"] <= r["end"], F.lit(False)))
+    """Date ranges with a tilde; the end's year may be left out. Impossible and reversed ones are dropped.
+
+    The text is gone through from tilde to tilde; a day that ended a range does not begin the next one."""
+
+    def day(c: Column, pattern: str, year: Column | None = None) -> Column:
+        part = lambda k: F.regexp_extract(c, pattern, k)
+        own = part(1) if year is None else F.coalesce(F.nullif(part(1), F.lit("")), year)
+        return F.concat_ws("-", own, F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")).try_cast("date")
+
+    def step(acc: Column, piece: Column) -> Column:
+        paired = acc["left"].rlike(_DAY_BEFORE) & piece.rlike(_DAY_BEHIND)
+        span = F.struct(day(acc["left"], _DAY_BEFORE).alias("start"), day(piece, _DAY_BEHIND, F.regexp_extract(acc["left"], _DAY_BEFORE, 1)).alias("end"))
+        return F.struct(F.when(paired, F.regexp_replace(piece, _DAY_BEHIND, "")).otherwise(piece).alias("left"), F.when(paired & (span["start"] <= span["end"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    pieces = F.split(text, "~")
+    start = F.struct(F.get(pieces, F.lit(0)).alias("left"), F.expr("CAST(array() AS array<struct<start: date, end: date>>)").alias("out"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
 
 
 def supplemental_availability(text: Column, as_of: Column) -> Column:

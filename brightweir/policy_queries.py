@@ -259,7 +259,8 @@ def regional_availability(spark, d):
     dot, flat, word, month = (lambda c: F.date_format(c, "yyyy.MM.dd")), (lambda c: F.date_format(c, "yyyyMMdd")), (lambda c: F.date_format(c, "yyyy년 M월 d일")), (lambda c: F.date_format(c, "yyyy년 M월"))
     ways = [F.lit(None).cast("string"), F.lit("접수 종료"), F.lit("상시"), F.lit("예산 소진까지 접수중"), F.lit("예산  소진 시"), F.concat_ws(" ~ ", dot(s), dot(e)), F.concat(word(s), F.lit("까지")), F.concat_ws("~", flat(e), flat(s)), F.concat_ws("~", month(s), month(e)), F.lit("신청 가능"), F.lit("추후 공지")]
     said = F.element_at(F.array(*ways), (k + 1).cast("int"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), normalize.availability(said, F.lit(TODAY).cast("date")).alias("a")).select("k", "a.state", "a.reason")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), said.alias("text"))
+    return parsing.each_once(rows, "text", "a", lambda c: normalize.availability(c, F.lit(TODAY).cast("date"))).select("k", "a.state", "a.reason")
 
 
 @_query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) + 7305 AS s, CAST(o_orderdate AS DATE) + 7350 AS e, DATE '2016-06-15' AS t FROM orders)
