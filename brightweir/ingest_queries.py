@@ -8,8 +8,8 @@ from brightweir.catalog_queries import _query
 from brightweir.functions import wording
 from brightweir.operators import ingest, search
 from brightweir.policy_queries import _P, policies
-from brightweir.sources import html
-from brightweir.session import table
+from brightweir.sources import html, tags
+from brightweir.session import cut, table
 
 
 def _documents(spark, d):
@@ -86,6 +86,28 @@ def labelled_pages(spark, d):
     return out.select("id", "title", "target", "age", F.size(html.rows("html")).alias("n_rows"), html.links("html")[0]["target"].alias("link"))
 
 
+_COUNT = lambda what: f"(length(html) - length(replace(html, '{what}', ''))) // {len(what)}"
+
+
+@_query(rf"""WITH h AS (SELECT page_id, url, html, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
+SELECT page_id AS id, 'No ' || page_id AS number, host || ' & co' AS host, CASE WHEN page_id % 3 = 0 THEN 'later' WHEN page_id % 3 = 1 THEN url ELSE NULL END AS address, CAST(1 AS BIGINT) AS tables_in_cells,
+  {_COUNT("<p>")} AS paragraphs, {_COUNT("<li>")} AS list_items, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM h""")
+def tagged_pages(spark, d):
+    """Whole pages, after a table with cells that nobody closed and a table in one of them; fields by label, elements by where they are."""
+    k = F.col("page_id")
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    head = F.concat(
+        F.lit("<table><TR><th>No<td>No "), k, F.lit("<tr><th>Outer<td><table><tr><th>Host</th><td>"), host, F.lit(" &amp; co<tr><td>x<th>Nothing</td></table><b>bold<tr><th>Url<td>"), F.when(k % 3 == 1, F.col("url")).otherwise(" "),
+        F.lit("</table></span><dl><dt>Url<dd>"), F.when(k % 3 == 0, "later").otherwise(""), F.lit("<dt>No<dd>again</dl><script>'<dl><dt>Host<dd>script</dl>'</script>"),
+    )
+    pages = table(spark, d, "pages").select(k.alias("id"), "url", F.concat(head, F.coalesce("html", F.lit(""))).alias("html"))
+    nodes = cut(tags.elements(pages, "id", "html"))
+    named = tags.fields(pages.select("id"), nodes, "id", {"number": ["No"], "host": ["Host"], "address": ["Nowhere", "Url"]})
+    nested = tags.inside(nodes, "id", F.col("tag") == "td", F.col("tag") == "table").groupBy("id").agg(F.count(F.lit(1)).alias("tables_in_cells"))
+    own = nodes.groupBy("id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("list_items"), F.min_by("text", F.when(F.col("tag") == "h1", F.col("node"))).alias("heading"))
+    return named.join(nested, "id").join(own, "id")
+
+
 @_query(f"""WITH {_P} SELECT CASE WHEN source_id = 'src0' AND id % 5 = 0 THEN 'missing_source_id' WHEN external_id IS NULL THEN CASE WHEN source_id IN ('src1', 'src2') THEN 'missing_external_id' ELSE 'unsupported_null_external_id' END ELSE 'accepted' END AS issue, count(*) AS n FROM p GROUP BY 1""")
 def identity_issues(spark, d):
     p = policies(spark, d)
