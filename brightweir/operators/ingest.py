@@ -243,10 +243,10 @@ def release_rows(programs: DataFrame, sources: tuple[str, ...], unsafe: Column,
 
 def write_once(df: DataFrame, root: str, name: str) -> str:
     """Writes a manifest under its content's hash; one that is there already, and so is equal, is left alone."""
-    from brightweir.operators.release import fingerprint
+    from brightweir.operators.release import tree
 
-    rows, total = fingerprint(df, df.columns)
-    path = f"{root}/{name}-{rows}-{total % (1 << 64):016x}"
+    top = tree(df, df.columns).where("level = 0").first()
+    path = f"{root}/{name}-{top['sha256'] if top else 'empty'}"
     spark = df.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):

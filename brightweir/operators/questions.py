@@ -27,7 +27,7 @@ TEXTS = ["search_text", "title", "summary"]
 def _distinct(terms: Column) -> Column:
     """Trimmed, without empty ones, the first of those that differ in case alone."""
     own = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != "")
-    low = F.transform(own, F.lower)
+    low = F.transform(own, lambda x: F.lower(x))
     return F.filter(own, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
 
 
