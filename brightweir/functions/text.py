@@ -21,11 +21,6 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
 
 
-def squeeze(c: Column) -> Column:
-    """White space of any kind as single spaces, trimmed; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
-
-
 def _arrow(f: Callable[[str], str | None], c: ColumnOrName) -> Column:
     """f over the values of a column in Arrow batches; null stays null."""
 

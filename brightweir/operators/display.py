@@ -178,3 +178,20 @@ def search_state(params: dict[str, str], sorts: tuple[str, ...], most: int = 100
     """Values of an address's parameters: numbers forced into range, unknown sorts to the default."""
     number = lambda k, lo, hi, other: min(max(int(params[k]), lo), hi) if params.get(k, "").lstrip("-").isdigit() else other
     return {"page": number("page", 1, 10**6, 1), "size": number("size", 1, most, 20), "age": number("age", 0, 150, None), "sort": s if (s := params.get("sort", "")) in sorts else "default"}
+
+
+def region_groups(regions: DataFrame) -> DataFrame:
+    """regions (code, parent, name), provinces those below the root: (province, districts: array<struct<label, value>> by
+    label), for a choice in two steps."""
+    root = regions.where("parent IS NULL").select(F.col("code").alias("parent"))
+    provinces = regions.join(root, "parent", "left_semi").select(F.col("code").alias("parent"), F.col("name").alias("province"))
+    own = regions.join(provinces, "parent")
+    per = own.groupBy("province").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("label"), F.concat_ws(" ", "province", "name").alias("value")))).alias("districts"))
+    return provinces.select("province").join(per, "province", "left").withColumn("districts", F.coalesce("districts", F.array().cast("array<struct<label: string, value: string>>")))
+
+
+def split_regions(asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """asked (region) with province and district: of a province's name, or of a district's with its province; empty for others."""
+    known = groups.select(F.col("province").alias("__of"), F.explode(F.array_union(F.array("province"), F.transform("districts", lambda x: x["value"]))).alias("__value"))
+    rows = asked.withColumn("__said", F.trim("region")).join(known, F.col("__said") == F.col("__value"), "left")
+    return rows.select(*asked.columns, F.coalesce("__of", F.lit("")).alias("province"), F.when(F.col("__of").isNotNull() & (F.col("__said") != F.col("__of")), F.col("__said")).otherwise("").alias("district"))

@@ -4,8 +4,6 @@ Issues are strings path|code|severity in an array; rows stay rows, so a partitio
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +103,3 @@ def provenance_faults(provenance: Column, collected: Column) -> Column:
     ids = F.transform(provenance, lambda p: p["id"])
     newest = F.array_max(F.transform(provenance, lambda p: p["collected_at"]))
     return F.array_compact(F.array(F.when(F.size(provenance) <= 0, "provenance_missing"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "provenance_id_repeated"), F.when(~newest.eqNullSafe(collected), "collected_at_differs")))
-
-
-def all_of(*checks: Column) -> Column:
-    return functools.reduce(Column.__and__, checks)

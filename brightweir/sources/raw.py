@@ -64,6 +64,16 @@ def json_items(df: DataFrame, schema: str) -> DataFrame:
     return df.withColumn("item", F.from_json(F.decode(F.unbase64("raw_payload_base64"), "UTF-8"), schema, {"mode": "PERMISSIVE"}))
 
 
+def json_array(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Seed files, each an array of objects: (rows with file, index from 0 and item; faults: file, fault where the root is no
+    array or the file no JSON). A file is a row until it is exploded."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("root"))
+    fault = F.when(F.col("root").isNull(), "seed_not_json").when(~F.schema_of_variant("root").startswith("ARRAY"), "seed_root_not_array")
+    judged = files.withColumn("fault", fault)
+    rows = judged.where("fault IS NULL").select("file", F.posexplode(F.variant_get("root", "$", "array<variant>")).alias("index", "v"))
+    return rows.select("file", "index", F.try_variant_get("v", "$", schema).alias("item")), judged.where("fault IS NOT NULL").select("file", "fault")
+
+
 def xml_items(df: DataFrame, schema: str, row_tag: str) -> DataFrame:
     """Raw XML documents with their payload parsed as column item."""
     return df.withColumn("item", F.from_xml(F.decode(F.unbase64("raw_payload_base64"), "UTF-8"), schema, {"rowTag": row_tag, "ignoreNamespace": "true"}))
