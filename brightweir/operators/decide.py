@@ -72,15 +72,18 @@ def duplicate_decisions(candidates: DataFrame, baseline: DataFrame | None) -> Da
     whole = ["title_key", "org_key", "region_keys", "support_key"]
     there = (F.col("title_key") != "") & (F.col("org_key") != "") & (F.col("support_key") != "") & (F.size("region_keys") > 0)
     span = F.concat_ws("~", F.coalesce(F.col("application_start").cast("string"), F.lit("-")), F.coalesce(F.col("application_end").cast("string"), F.lit("-"))).alias("span")
-    full = by(candidates.where(there).select("id", *whole, span), baseline.where(there).select(F.col("id").alias("b"), *whole, span), [*whole, "span"])
+    # The baseline is brought down to a row a value before it meets the candidates, as one title or content may be very frequent.
+    same = baseline.where(there).select("id", *whole, span).groupBy(*whole, "span").agg(F.count_distinct("id").alias("full"))
+    full = candidates.where(there).select("id", *whole, span).join(same, [*whole, "span"]).select("id", "full")
     thin = ((F.col("org_key") == "") | (F.col("support_key") == "") | (F.size("region_keys") <= 0) | F.col("application_start").isNull() | F.col("application_end").isNull()).alias("thin")
-    titled = candidates.select("id", "title_key", thin).join(baseline.select(F.col("id").alias("b"), "title_key", thin.alias("b_thin")), "title_key")
+    titles = baseline.groupBy("title_key").agg(F.count(F.lit(1)).alias("titled"), F.bool_or(thin).alias("b_thin"))
+    titled = candidates.select("id", "title_key", thin).join(titles, "title_key").select("id", "titled", (F.col("thin") | F.col("b_thin")).alias("incomplete"))
     within = contained_titles(candidates.select("id", F.col("title_key").alias("key")), baseline.select("id", F.col("title_key").alias("key"))).select(F.col("a").alias("id"), "b")
-    steps = [("stated", stated), ("address", address), ("notice", notice), ("full", full), ("within", within)]
+    steps = [("stated", stated), ("address", address), ("notice", notice), ("within", within)]
     out = ids
     for name, pairs in steps:
         out = out.join(pairs.groupBy("id").agg(F.count(F.lit(1)).alias(name)), "id", "left")
-    out = out.join(titled.groupBy("id").agg(F.count(F.lit(1)).alias("titled"), F.bool_or(F.col("thin") | F.col("b_thin")).alias("incomplete")), "id", "left")
+    out = out.join(full, "id", "left").join(titled, "id", "left")
     has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     kinds = (
         F.when(has("stated"), "excluded_aggregator_duplicate/aggregator_external_id_match/stated")

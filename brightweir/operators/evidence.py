@@ -7,7 +7,12 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightweir.operators.decide import admission
+from brightweir.functions.text import canonical_url, comparable
+from brightweir.functions.wording import fingerprint
+from brightweir.operators import program
+from brightweir.operators.audit import met
+from brightweir.operators.decide import admission, duplicate_decisions
+from brightweir.session import cut
 
 #: What a supplemental policy must have confirmed, in the order in which it is asked for.
 REQUIRED = ("youth_target", "organization", "eligibility", "required_documents", "application_method")
@@ -100,6 +105,45 @@ def review(candidates: DataFrame, normalized: DataFrame, duplicates: DataFrame)
     return again.select("id", F.when(passed, F.col("outcome")).otherwise(F.col("first_outcome")).alias("outcome"), F.when(passed, F.col("reason")).otherwise(F.col("first_reason")).alias("reason"), F.when(passed, 2).otherwise(1).alias("round"))
 
 
+#: What a decision reads, in the order in which its fingerprint names it.
+READ = ("identity_valid", "checkpoint", "application", "markers", "original", "current", "normalization", "fingerprint", "duplicate")
+
+
+def reviewed(candidates: DataFrame, extracted: DataFrame, names: DataFrame, baseline: DataFrame | None, required: tuple[str, ...] = ("source_id", "external_id", "title")) -> DataFrame:
+    """A review to its end, in one plan: (id, outcome, reason, round, input). candidates have what ``decide.admission`` reads of the
+    checkpoint; extracted (id, ...) are their policies; names and baseline as in ``program.normalized`` and
+    ``decide.duplicate_decisions``.
+
+    The first round decides as if all that follows went well. Those that pass are normalised and decided again (round 2) with the
+    class and content they have; those that pass once more meet the baseline and each other (round 3): of equal contents the
+    one with the least id stands. input is a hash of what the round's decision read."""
+    outcome, reason = admission()
+    said = F.sha2(F.to_json(F.struct(*READ), {"ignoreNullFields": "false"}), 256)
+
+    def decided(rows: DataFrame, number: int) -> DataFrame:
+        return cut(rows.withColumns({"outcome": outcome, "reason": reason, "input": said, "round": F.lit(number)}))
+
+    on = F.col("outcome") == "promote_partial"
+    probe = {"normalization": "partial", "fingerprint": "sha256:probe", "duplicate": "accepted_regional"}
+    own = candidates.select("id", *READ[:6])
+    first = decided(own.withColumns({c: F.lit(v) for c, v in probe.items()}), 1)
+    whole = cut(program.normalized(extracted.join(first.where(on).select("id"), "id", "left_semi"), names, required=required))
+    content = [c for c in program.FIELDS if c not in ("source_id", "source_name", "external_id", "source_url", "collected_at", "provenance")]
+    made = whole.select("id", F.col("data_quality_status").alias("normalization"), fingerprint({c: F.col(c) for c in content}).alias("fingerprint"))
+    second = decided(own.join(first.where(on).select("id"), "id", "left_semi").join(made, "id", "left").withColumns({"normalization": F.coalesce("normalization", F.lit("missing")), "duplicate": F.lit("accepted_regional")}), 2)
+    passed = second.where(on).select("id", "normalization", "fingerprint")
+    heads = passed.groupBy("fingerprint").agg(F.min("id").alias("__head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keyed = whole.join(passed.select("id"), "id", "left_semi").select(
+        "id", comparable("title").alias("title_key"), F.coalesce(comparable("organization"), F.lit("")).alias("org_key"), F.coalesce(comparable("support_content"), F.lit("")).alias("support_key"), F.array_sort("regions").alias("region_keys"), "application_start", "application_end",
+        F.array_compact(F.array(canonical_url(F.col("source_url")))).alias("urls"), F.array().cast("array<string>").alias("announcements"), F.array().cast("array<string>").alias("references"),
+    )
+    told = duplicate_decisions(cut(keyed), baseline).select("id", F.col("outcome").alias("duplicate"))
+    third = met(passed, heads, "fingerprint").join(told, "id", "left").withColumn("duplicate", F.when(F.col("id") > F.col("__head"), "excluded_intra_batch_duplicate").otherwise(F.col("duplicate"))).drop("__head")
+    third = decided(own.join(third, "id"), 3)
+    keep = ["id", "outcome", "reason", "round", "input"]
+    return first.where(~on).select(*keep).unionByName(second.where(~on).select(*keep)).unionByName(third.select(*keep))
+
+
 def replay_differs(before: DataFrame, after: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
     """Keys whose decisions, taken again, are others, or are there on one side alone."""
     a, b = before.select(*key, F.struct(*cols).alias("a")), after.select(*key, F.struct(*cols).alias("b"))
