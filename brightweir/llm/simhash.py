@@ -239,21 +239,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def placed(prints: DataFrame, radius: int, salts: int = 16) -> DataFrame:
-    """prints (id, fp, ...): (fp, root, least, component_id): the component of each fingerprint, the smallest id of its rows, and
-    that of the component. Only fingerprints with a link meet their component, each component in ``salts`` parts."""
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    """prints (id, fp, ...): (fp, root, component_id) of fingerprints with a link or several rows: their component and its smallest
+    id. Only fingerprints with a link meet their component, each component in ``salts`` parts."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp").join(nodes, "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(ids, ["root", "salt"]).select("fp", "root", "component_id", F.lit(True).alias("linked"))
-    out = nodes.join(linked, "fp", "left")
-    return out.select("fp", F.coalesce("root", "fp").alias("root"), "least", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    out = nodes.join(linked, "fp", "left").where("linked OR n > 1")
+    return out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hexadecimal digits), component_id."""
     prints = cut(with_fingerprint(docs, id_col, text_col, shingle))
-    by_print = placed(prints, radius).select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A fingerprint may be that of very many rows; those of a single row without links are their own component.
+    rows = met(prints.select("id", "fp"), placed(prints, radius).select("fp", "component_id", F.lit(True).alias("told")), "fp")
+    component = F.when(F.col("told"), F.col("component_id")).otherwise(F.col("id"))
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def text_key(text_col: str):
@@ -282,7 +284,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row of docs for each component: the smallest id, nulls last. Columns as they were."""
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("key")).alias("row"), F.col(text_col).alias("text"))
     prints = cut(with_fingerprint(keyed, "row", "text", shingle))
-    rows = prints.join(placed(prints, radius), "fp").select(F.col("id.id").alias(id_col), "id.key", F.col("fp").alias("node"), "root")
+    rows = met(prints.select("id", "fp"), placed(prints, radius).select("fp", "root"), "fp").select(F.col("id.id").alias(id_col), "id.key", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
     return one_of_each(docs, rows, id_col, text_col)
 
 

@@ -221,6 +221,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Held out at sf0.1 (97 toxic texts) recall is 0.77 and precision 0.94: a tenth of these texts has no
+    word that sets the class apart, and lengths under two dictionaries tell no more of them (see the README)."""
     from brightweir.session import table
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
