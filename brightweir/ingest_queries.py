@@ -58,10 +58,13 @@ def capture_joins(spark, d):
 SELECT page, text, target, CAST(score AS INT) AS score FROM l WHERE same AND score > 0 QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, text, target) = 1""")
 def best_site_links(spark, d):
     """The best link of each page of a small site."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("https://h"), "n_regionkey", F.lit("/"), "n_nationkey").alias("page"))
-    every = n.agg(F.collect_list(F.struct("k", "page")).alias("all"))  # a site's menu
-    word = F.when(F.col("t.k") % 3 == 0, "policy list").when(F.col("t.k") % 3 == 1, "list").otherwise("about")
-    links = n.join(F.broadcast(every)).select("page", "k", F.explode("all").alias("t")).where("k <> t.k").select("page", F.concat(word, F.lit(" "), F.col("t.k")).alias("text"), F.col("t.page").alias("target"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("site"), F.concat(F.lit("https://h"), "n_regionkey", F.lit("/"), "n_nationkey").alias("page"))
+    word = F.when(F.col("t") % 3 == 0, "policy list").when(F.col("t") % 3 == 1, "list").otherwise("about")
+    theirs = n.select("site", F.col("k").alias("t"), F.col("page").alias("target"))
+    # A site's menu, and a link to another site, which counts for nothing.
+    own = n.join(theirs, "site").where("k <> t").select("page", "t", "target")
+    away = n.join(theirs.select((F.col("t") + 1).alias("k"), "t", "target"), "k").select("page", "t", F.concat("target", F.lit("?policy")).alias("target"))
+    links = own.unionByName(away).select("page", F.concat(word, F.lit(" "), F.col("t")).alias("text"), "target")
     return ingest.best_links(links, n.select("page"), ["policy", "list"])
 
 

@@ -22,8 +22,9 @@ def tree_faults(nodes: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """edges (code, parent): codes that reach themselves. Codes without children or without parents are peeled off until none is left
-    to peel; what stays lies on a cycle or between two, and is followed up to itself."""
-    left = cut(edges.select("code", "parent").distinct())
+    to peel. Where every code that stays has one parent, all of them lie on cycles; otherwise some may lie between two, and what
+    they reach is found by steps of double length."""
+    left = cut(edges.select("code", "parent").where("code IS NOT NULL AND parent IS NOT NULL").distinct())
     n = left.count()
     while n:
         ends = left.select(F.col("code").alias("parent")).distinct()
@@ -32,13 +33,15 @@ def cycles(edges: DataFrame) -> DataFrame:
         n, before = left.count(), n
         if n == before:
             break
-    reach = cut(left.select("code", F.col("parent").alias("up")))
-    size = reach.count()
+    if left.groupBy("code").count().where("count > 1").isEmpty():
+        return left.select("code")
+    reach, size = left.select("code", F.col("parent").alias("up")), n
     while True:
-        more = cut(reach.unionByName(reach.join(left.select(F.col("code").alias("up"), "parent"), "up").select("code", F.col("parent").alias("up"))).distinct())
-        if more.count() == size:
-            return more.where("code = up").select("code")
-        reach, size = more, more.count()
+        far = reach.select(F.col("code").alias("up"), F.col("up").alias("parent"))
+        reach = cut(reach.unionByName(reach.join(far, "up").select("code", F.col("parent").alias("up"))).distinct())
+        size, before = reach.count(), size
+        if size == before:
+            return reach.where("code = up").select("code")
 
 
 def status_view(catalog: DataFrame, facts: DataFrame, runs: DataFrame, key: str, order: list[Column], is_active: Column) -> DataFrame:

@@ -38,6 +38,12 @@ def load(spark: SparkSession, root: str, source_id: str | None = None) -> DataFr
     return df.where(F.col("source_id") == source_id) if source_id is not None else df
 
 
+def misplaced(spark: SparkSession, root: str) -> DataFrame:
+    """(document_id, says, source_id): documents that say that they are of another source than the folder that they are in."""
+    lines = spark.read.text(root).select(F.get_json_object("value", "$.document_id").alias("document_id"), F.get_json_object("value", "$.source_id").alias("says"), F.col("source_id").cast("string").alias("source_id"))
+    return lines.where("says <> source_id")
+
+
 def orphans(df: DataFrame) -> DataFrame:
     """Documents whose parent isn't there."""
     parents = df.select(F.col("document_id").alias("parent_document_id")).distinct()

@@ -136,6 +136,12 @@ def test_merged_details(spark):
     assert {r.id: (r.text, r.state, r.groups) for r in snapshot.merged(df, "id", ["at"], ["text"], "state", "groups").collect()} == {"p": ("late", "closed", ["a", "b"]), "q": (None, "unknown", [])}
 
 
+def test_orders_of_titles(spark):
+    df = spark.createDataFrame([("나", 1), ("가", 2), ("b", 3), ("나", 0), ("가나", 4), ("A", 5)], "title string, id long")
+    assert [(r.title, r.id) for r in df.orderBy(*display.client_order("title_asc")).collect()] == [("가", 2), ("가나", 4), ("나", 0), ("나", 1), ("A", 5), ("b", 3)]
+    assert [r.id for r in df.orderBy(*display.client_order("other")).collect()] == list(range(6))
+
+
 def test_display(spark):
     assert display.page_strip(5, 10) == [1, None, 3, 4, 5, 6, 7, None, 10] and display.page_strip(1, 1) == [1]
     assert display.search_state({"page": "-3", "size": "900", "age": "x", "sort": "bad"}, ("title_asc",)) == {"page": 1, "size": 100, "age": None, "sort": "default"}

@@ -142,3 +142,21 @@ def test_manifests_are_written_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     a, b = ingest.write_once(df, f"file://{tmp_path}", "m"), ingest.write_once(df.repartition(3), f"file://{tmp_path}", "m")
     assert a == b and ingest.write_once(df.limit(1), f"file://{tmp_path}", "m") != a and len(os.listdir(tmp_path)) == 2
+
+
+def test_documents_in_the_wrong_folder(spark, tmp_path):
+    from brightweir.sources import raw
+
+    os.makedirs(tmp_path / "store" / "source_id=a")
+    (tmp_path / "store" / "source_id=a" / "x.json").write_text('{"document_id":"1","source_id":"a"}\n{"document_id":"2","source_id":"b"}\n{"document_id":"3"}\n')
+    assert [tuple(r) for r in raw.misplaced(spark, f"file://{tmp_path}/store").collect()] == [("2", "b", "a")]
+
+
+def test_cycles_of_one_and_of_several_parents(spark):
+    from brightweir.operators import integrity
+
+    found = lambda rows: sorted(r.code for r in integrity.cycles(spark.createDataFrame(rows, "code string, parent string")).collect())
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    assert found([*ring, ("tail", "r0"), ("r9b", "tail"), ("x", None)]) == sorted(f"r{i}" for i in range(40))
+    two = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "c"), ("c", "d"), ("d", "c"), ("self", "self")]
+    assert found(two) == ["a", "b", "c", "d", "self"] and found([("a", "b")]) == []
