@@ -57,10 +57,11 @@ def read(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{path}/posts").where(F.col("bucket").isin(buckets)).select("gram", "block", "ids")
 
 
-def candidates(spark: SparkSession, path: str, needles: DataFrame) -> DataFrame:
-    """(needle, id): every row whose text can have all terms of a needle, and some that haven't."""
+def candidates(spark: SparkSession, path: str, needles: DataFrame, unique: bool = True) -> DataFrame:
+    """(needle, id): every row whose text can have all terms of a needle, and some that haven't; each once if ``unique``."""
     best = rarest(spark, path, needles).where("n > 0").select("needle", "gram")
-    return best.join(read(spark, path, best), "gram").select("needle", F.explode("ids").alias("id")).distinct()
+    found = best.join(read(spark, path, best), "gram").select("needle", F.explode("ids").alias("id"))
+    return found.distinct() if unique else found
 
 
 def holds(fields: list[Column], term: Column) -> Column:

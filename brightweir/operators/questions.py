@@ -48,9 +48,9 @@ def prepared(questions: DataFrame) -> DataFrame:
 
 def pairs(asked: DataFrame, index: str) -> DataFrame:
     """(question, id): policies that have the rarest gram of what a question must have, or of one of the terms of which any will do."""
-    needles = asked.select("question", F.explode(F.when(F.size("must") > 0, F.array("must")).otherwise(F.transform("any_of", lambda t: F.array(t)))).alias("terms"))
-    needles = needles.select(F.struct("question", "terms").alias("needle"), "terms")
-    return postings.candidates(asked.sparkSession, index, needles).select("needle.question", "id").distinct()
+    needles = asked.select("question", F.posexplode(F.when(F.size("must") > 0, F.array("must")).otherwise(F.transform("any_of", lambda t: F.array(t)))).alias("at", "terms"))
+    needles = needles.select(F.struct("question", "at").alias("needle"), "terms")
+    return postings.candidates(asked.sparkSession, index, needles, unique=False).select("needle.question", "id").distinct()
 
 
 def projected(policies: DataFrame) -> DataFrame:
@@ -58,19 +58,22 @@ def projected(policies: DataFrame) -> DataFrame:
     return policies.withColumns({f"__{f}": folded(F.col(f)) for f in search.FIELDS})
 
 
-def answers(policies: DataFrame, questions: DataFrame, index: str, regions: DataFrame | None = None) -> DataFrame:
+def answers(policies: DataFrame, questions: DataFrame, index: str, regions: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """(question, id, verdicts, counts, score and every sort key): policies that a question doesn't rule out.
 
     policies: from ``projected``; index: postings of TEXTS of their ids; regions: (region, policy, verdict, reason) from
-    ``verdict.regions``, for asked and preferred regions."""
+    ``verdict.regions``, for asked and preferred regions; found: from ``pairs``, if it is there already."""
     asked = prepared(questions)
     own = policies.where(F.col("quality") != "invalid")
-    rows = pairs(asked, index).join(asked, "question").join(own.withColumnRenamed("status", "has_status"), "id")
+    rows = (pairs(asked, index) if found is None else found).join(asked, "question").join(own.withColumnRenamed("status", "has_status"), "id")
     rows = rows.where((F.col("include_partial") | (F.col("quality") == "valid")) & (F.col("status").isNotNull() | F.coalesce(F.col("has_status") != "closed", F.lit(True))))
-    texts = [F.col(c) for c in TEXTS]
-    rows = rows.where(F.when(F.size("must") > 0, F.forall("must", lambda t: postings.holds(texts, t))).otherwise(F.exists("any_of", lambda t: postings.holds(texts, t))))
+    # What is cheap to tell comes before the texts are looked through.
     age = verdict.age(F.col("age"), F.col("age_min"), F.col("age_max"), F.col("age_text"))
     rows = rows.withColumns({"status_verdict": verdict.status(F.col("has_status"), F.col("status")), "age_verdict": age, "category_verdict": verdict.category(F.col("categories"), F.col("category"))})
+    for v in ("status_verdict", "age_verdict", "category_verdict"):
+        rows = rows.where(F.coalesce(F.col(v) != "mismatch", F.lit(True)))
+    texts = [F.col(c) for c in TEXTS]
+    rows = rows.where(F.when(F.size("must") > 0, F.forall("must", lambda t: postings.holds(texts, t))).otherwise(F.exists("any_of", lambda t: postings.holds(texts, t))))
     for name, column in (("region", "region"), ("liked", "preferred_region")):
         if regions is None:
             rows = rows.withColumns({f"{name}_verdict": F.lit(None).cast("string"), f"{name}_reason": F.lit(None).cast("string")})
@@ -78,8 +81,7 @@ def answers(policies: DataFrame, questions: DataFrame, index: str, regions: Data
             one = regions.select(F.col("region").alias(column), F.col("policy").alias("id"), F.col("verdict").alias(f"{name}_verdict"), F.col("reason").alias(f"{name}_reason"))
             rows = rows.join(one, [column, "id"], "left")
     verdicts = ["status_verdict", "age_verdict", "category_verdict", "region_verdict"]
-    for v in verdicts:
-        rows = rows.where(F.coalesce(F.col(v) != "mismatch", F.lit(True)))
+    rows = rows.where(F.coalesce(F.col("region_verdict") != "mismatch", F.lit(True)))
     have = F.coalesce(F.size("categories"), F.lit(0)) > 0
     wants = F.coalesce(F.size("wanted_categories"), F.lit(0)) > 0
     likes = [

@@ -9,7 +9,7 @@ from brightweir import policy_queries
 from brightweir.catalog_queries import _TREE, _query, _tree
 from brightweir.operators import evidence, postings, questions, search, verdict
 from brightweir.policy_queries import _CATS, _HI, _LO, _P, _REGS
-from brightweir.session import scratch, table
+from brightweir.session import cut, scratch, table
 
 QUESTIONS = """SELECT s_suppkey AS question, CASE s_suppkey % 9 WHEN 0 THEN 'ring' WHEN 1 THEN 'Widget' WHEN 2 THEN 'bolt' WHEN 3 THEN ' economy ' WHEN 4 THEN 'brand#1' WHEN 5 THEN 'ir' WHEN 6 THEN '청년' WHEN 7 THEN '%ed%t' ELSE 'o' END AS t1,
   CASE s_suppkey % 5 WHEN 0 THEN '지원' WHEN 1 THEN 'support' WHEN 2 THEN 'red' WHEN 3 THEN '' END AS t2, CASE WHEN s_suppkey % 13 = 0 THEN 'blue' WHEN s_suppkey % 17 = 0 THEN '지원' END AS keyword,
@@ -32,10 +32,11 @@ def _found(spark, d) -> DataFrame:
     """What every question finds, with the regions of the pairs that its terms find."""
     rows, index = policy_queries.projection(spark, d), policy_queries.index(spark, d)
     own = questions.prepared(asked(spark, d))
-    pairs = questions.pairs(own, index).join(own.select("question", F.explode(F.array_distinct(F.array("region", "preferred_region"))).alias("region")), "question").select("region", F.col("id").alias("policy"))
+    found = cut(questions.pairs(own, index))
+    pairs = found.join(own.select("question", F.explode(F.array_distinct(F.array("region", "preferred_region"))).alias("region")), "question").select("region", F.col("id").alias("policy"))
     rules = rows.select(F.col("id").alias("policy"), F.explode("regions").alias("code"), F.lit("include").alias("relation"))
     regions = verdict.regions(pairs, rows.select(F.col("id").alias("policy"), "scope"), rules, labels(spark, d))
-    return questions.answers(questions.projected(rows), asked(spark, d), index, regions)
+    return questions.answers(questions.projected(rows), asked(spark, d), index, regions, found)
 
 
 def _verdict_of(question: str) -> str:
