@@ -111,7 +111,7 @@ def test_items_in_pieces_lose_no_window():
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     if name == "op7_warc":  # with equal payloads, of which the table has none
         con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'é' WHEN page_id % 7 = 0 THEN NULL ELSE html END AS html FROM '{SMALL}/pages.parquet'")
