@@ -5,6 +5,10 @@ all questions with all policies. On a pair, conditions become verdicts as in ``s
 the results are the same. Each question's best are chosen by a window that Spark bounds within each partition before rows
 meet, so a question that very many policies answer sends few.
 
+``grouped`` does this for very many questions: a text is looked through once for all questions with the same terms, and what
+it is worth to them is then counted by the policies' other values (``kinds``), so that questions meet kinds of policies with their
+number and smallest id instead of the policies. Policies with values of their own are kinds of one.
+
 A question has an id and at least one term or keyword (one without any is not answered here: it asks for a list of all
 policies). Other columns may be missing or null; nulls mean not asked for. Repeated question ids are an error of the caller.
 """
@@ -18,10 +22,16 @@ from pyspark.sql import functions as F
 
 from brightweir.functions.text import folded
 from brightweir.operators import postings, search, verdict
+from brightweir.session import cut, scratch
 
 #: Columns of a question and their types.
 COLUMNS = {"terms": "array<string>", "keyword": "string", "status": "string", "age": "int", "category": "string", "region": "string", "include_partial": "boolean", "wanted_categories": "array<string>", "wanted_age": "int", "preferred_region": "string"}
 TEXTS = ["search_text", "title", "summary"]
+#: What a question says, in which very many agree, and what of a policy counts besides its texts.
+SAID = ["said", "must", "any_of", "folds"]
+VALUES = ["quality", "has_status", "age_min", "age_max", "age_text", "categories", "regions", "scope"]
+#: Tasks that questions and kinds meet in, and how many of them share the questions with the same terms.
+TASKS, SHARES = 256, 8
 
 
 def _distinct(terms: Column) -> Column:
@@ -50,7 +60,7 @@ def pairs(asked: DataFrame, index: str) -> DataFrame:
     """(question, id): policies that have the rarest gram of what a question must have, or of one of the terms of which any will do."""
     needles = asked.select("question", F.posexplode(F.when(F.size("must") > 0, F.array("must")).otherwise(F.transform("any_of", lambda t: F.array(t)))).alias("at", "terms"))
     needles = needles.select(F.struct("question", "at").alias("needle"), "terms")
-    return postings.candidates(asked.sparkSession, index, needles, unique=False).select("needle.question", "id").distinct()
+    return postings.candidates(asked.sparkSession, index, needles, unique=False).select("needle.question", "id").repartition("id").distinct()
 
 
 def projected(policies: DataFrame) -> DataFrame:
@@ -66,20 +76,45 @@ def answers(policies: DataFrame, questions: DataFrame, index: str, regions: Data
     asked = prepared(questions)
     own = policies.where(F.col("quality") != "invalid")
     rows = (pairs(asked, index) if found is None else found).join(asked, "question").join(own.withColumnRenamed("status", "has_status"), "id")
-    rows = rows.where((F.col("include_partial") | (F.col("quality") == "valid")) & (F.col("status").isNotNull() | F.coalesce(F.col("has_status") != "closed", F.lit(True))))
     # What is cheap to tell comes before the texts are looked through.
+    return _placed(_told(_allowed(rows)), regions, "id")
+
+
+def _allowed(rows: DataFrame) -> DataFrame:
+    """Pairs that neither quality, status, age nor category rule out, with the verdicts."""
+    rows = rows.where((F.col("include_partial") | (F.col("quality") == "valid")) & (F.col("status").isNotNull() | F.coalesce(F.col("has_status") != "closed", F.lit(True))))
     age = verdict.age(F.col("age"), F.col("age_min"), F.col("age_max"), F.col("age_text"))
     rows = rows.withColumns({"status_verdict": verdict.status(F.col("has_status"), F.col("status")), "age_verdict": age, "category_verdict": verdict.category(F.col("categories"), F.col("category"))})
     for v in ("status_verdict", "age_verdict", "category_verdict"):
         rows = rows.where(F.coalesce(F.col(v) != "mismatch", F.lit(True)))
+    return rows
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Pairs whose texts have what the question says, with the score."""
     texts = [F.col(c) for c in TEXTS]
     rows = rows.where(F.when(F.size("must") > 0, F.forall("must", lambda t: postings.holds(texts, t))).otherwise(F.exists("any_of", lambda t: postings.holds(texts, t))))
+
+    def hits(field: str) -> Column:
+        bare = F.replace(F.col(f"__{field}"), F.lit(" "), F.lit(""))
+        return F.size(F.filter("folds", lambda x: F.contains(F.col(f"__{field}"), x) | F.contains(bare, F.replace(x, F.lit(" "), F.lit("")))))
+
+    rows = rows.withColumns({f"hits_{f}": hits(f) for f in search.FIELDS})
+    n = [F.col(f"hits_{f}") for f in search.FIELDS]
+    shown = F.exists("said", lambda t: F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(t)) | F.contains(F.lower(F.coalesce("summary", F.lit(""))), F.lower(t)))
+    missing = F.col("search_text").isNull()
+    rows = rows.where(missing | (sum(n) > 0) | shown)
+    return rows.withColumn("score", F.when(missing, 1.0).otherwise(F.lit(1.0) + sum(2.0 * (h > 0).cast("double") + h for h in n)))
+
+
+def _placed(rows: DataFrame, regions: DataFrame | None, key: str) -> DataFrame:
+    """Pairs that no region rules out, with counts and every sort key. regions: its policy is the column ``key`` of rows."""
     for name, column in (("region", "region"), ("liked", "preferred_region")):
         if regions is None:
             rows = rows.withColumns({f"{name}_verdict": F.lit(None).cast("string"), f"{name}_reason": F.lit(None).cast("string")})
         else:
-            one = regions.select(F.col("region").alias(column), F.col("policy").alias("id"), F.col("verdict").alias(f"{name}_verdict"), F.col("reason").alias(f"{name}_reason"))
-            rows = rows.join(one, [column, "id"], "left")
+            one = regions.select(F.col("region").alias(column), F.col("policy").alias(key), F.col("verdict").alias(f"{name}_verdict"), F.col("reason").alias(f"{name}_reason"))
+            rows = rows.join(one, [column, key], "left")
     verdicts = ["status_verdict", "age_verdict", "category_verdict", "region_verdict"]
     rows = rows.where(F.coalesce(F.col("region_verdict") != "mismatch", F.lit(True)))
     have = F.coalesce(F.size("categories"), F.lit(0)) > 0
@@ -91,19 +126,44 @@ def answers(policies: DataFrame, questions: DataFrame, index: str, regions: Data
     ]
     count = lambda vs, what: sum((F.when(v == what, 1).otherwise(0) for v in vs), F.lit(0))
     rows = rows.withColumns({"preference_matches": count(likes, "match"), "preference_unknowns": count(likes, "unknown"), "unknown_count": count([F.col(v) for v in verdicts], "unknown")})
-
-    def hits(field: str) -> Column:
-        bare = F.replace(F.col(f"__{field}"), F.lit(" "), F.lit(""))
-        return F.size(F.filter("folds", lambda x: F.contains(F.col(f"__{field}"), x) | F.contains(bare, F.replace(x, F.lit(" "), F.lit("")))))
-
-    rows = rows.withColumns({f"hits_{f}": hits(f) for f in search.FIELDS})
-    n = [F.col(f"hits_{f}") for f in search.FIELDS]
-    shown = F.exists("said", lambda t: F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(t)) | F.contains(F.lower(F.coalesce("summary", F.lit(""))), F.lower(t)))
-    missing = F.col("search_text").isNull()
-    rows = rows.where(missing | (sum(n) > 0) | shown)
-    score = F.when(missing, 1.0).otherwise(F.lit(1.0) + sum(2.0 * (h > 0).cast("double") + h for h in n))
     group, breadth, relation = (F.when(F.col("region").isNotNull(), c).otherwise(0) for c in search.region_key(True, F.col("region_verdict"), F.col("region_reason"), F.coalesce(F.size("regions"), F.lit(0))))
-    return rows.withColumns({"score": score, "region_group": group, "region_breadth": breadth, "region_relation": relation, "status_rank": search.status_rank(F.col("has_status"))})
+    return rows.withColumns({"region_group": group, "region_breadth": breadth, "region_relation": relation, "status_rank": search.status_rank(F.col("has_status"))})
+
+
+def grouped(policies: DataFrame, questions: DataFrame, index: str, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, members). groups: as ``answers``, but a row for all policies that a question can't tell apart, with their
+    number (n), the smallest id, and what names them (told, kind, score); members: (told, kind, score, id).
+
+    policies and index: as in ``answers``; regions: (region, policy, verdict, reason), policy being struct(scope, regions)."""
+    spark, asked = policies.sparkSession, prepared(questions)
+    path = scratch(spark, "questions")
+    asked.select(*SAID).distinct().withColumn("told", F.monotonically_increasing_id()).write.parquet(f"{path}/told")
+    told = spark.read.parquet(f"{path}/told")
+    # Of a text of ages only counts whether it says that there is no limit.
+    free = F.regexp_replace("age_text", r"(?U)\s+", " ").contains(verdict.NO_LIMIT)
+    own = policies.where(F.col("quality") != "invalid").withColumnRenamed("status", "has_status").withColumn("age_text", F.when(free, verdict.NO_LIMIT))
+    own.select(*VALUES).distinct().withColumn("kind", F.monotonically_increasing_id()).write.parquet(f"{path}/kinds")
+    kinds = spark.read.parquet(f"{path}/kinds")
+    same = functools.reduce(Column.__and__, [F.col(f"own.{v}").eqNullSafe(F.col(f"kinds.{v}")) for v in VALUES])
+    own = own.alias("own").join(kinds.alias("kinds"), same).select("own.id", *[f"own.{t}" for t in [*TEXTS, *[f"__{f}" for f in search.FIELDS]]], "kinds.kind")
+    rows = _told(pairs(told.withColumnRenamed("told", "question"), index).withColumnRenamed("question", "told").join(told, "told").join(own, "id"))
+    rows.select("told", "kind", "score", "id").write.parquet(f"{path}/members")
+    members = spark.read.parquet(f"{path}/members")
+    sets = members.groupBy("told", "kind", "score").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).join(kinds, "kind").withColumn("place", F.struct("scope", "regions"))
+    share = F.pmod(F.xxhash64("question"), F.lit(SHARES))
+    sets = sets.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))).repartition(TASKS, "told", "share")
+    alike = functools.reduce(Column.__and__, [F.col(f"asked.{c}") == F.col(f"said.{c}") for c in SAID])
+    asked = asked.alias("asked").join(told.alias("said"), alike).select("asked.*", "said.told").drop(*SAID, "terms", "keyword")
+    return _placed(_allowed(asked.withColumn("share", share).repartition(TASKS, "told", "share").join(sets, ["told", "share"])), regions, "place"), members
+
+
+def best_of(groups: DataFrame, members: DataFrame, top: int) -> DataFrame:
+    """``best`` of what ``grouped`` gives: the first ``top`` answers are in the first ``top`` groups by their smallest ids."""
+    key = ["told", "kind", "score"]
+    first = cut(best(groups, top).drop("rank", "id", "n"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    ids = members.join(first.select(*key).distinct(), key, "left_semi").withColumn("place_", place).where(F.col("place_") <= top).drop("place_")
+    return best(first.join(ids, key), top)
 
 
 def best(found: DataFrame, top: int) -> DataFrame:
@@ -114,10 +174,13 @@ def best(found: DataFrame, top: int) -> DataFrame:
 
 def report(found: DataFrame, questions: DataFrame, confirmed: Column) -> DataFrame:
     """(question, matches, confirmed, unknown, first_id): how many policies answer each question, how many of them without
-    doubt (all that was asked for matches, and ``confirmed`` holds), how many with a condition that is unknown, and the best one."""
+    doubt (all that was asked for matches, and ``confirmed`` holds), how many with a condition that is unknown, and the best one.
+    found: from ``answers``, or the groups of ``grouped``."""
+    n = F.col("n") if "n" in found.columns else F.lit(1)
+    count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
     sure = (F.col("unknown_count") == 0) & F.coalesce(confirmed, F.lit(False))
     keys = [*[c.alias(f"k{i}") for i, c in enumerate(_ascending())], F.col("id")]
-    per = found.groupBy("question").agg(F.count(F.lit(1)).alias("matches"), F.count_if(sure).alias("confirmed"), F.count_if(F.col("unknown_count") > 0).alias("unknown"), F.min(F.struct(*keys)).alias("first"))
+    per = found.groupBy("question").agg(count(F.lit(True)).alias("matches"), count(sure).alias("confirmed"), count(F.col("unknown_count") > 0).alias("unknown"), F.min(F.struct(*keys)).alias("first"))
     rows = questions.select("question").join(per, "question", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select("question", zero("matches"), zero("confirmed"), zero("unknown"), F.col("first.id").alias("first_id"))

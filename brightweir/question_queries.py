@@ -9,7 +9,7 @@ from brightweir import policy_queries
 from brightweir.catalog_queries import _TREE, _query, _tree
 from brightweir.operators import evidence, postings, questions, search, verdict
 from brightweir.policy_queries import _CATS, _HI, _LO, _P, _REGS
-from brightweir.session import cut, scratch, table
+from brightweir.session import scratch, table
 
 QUESTIONS = """SELECT s_suppkey AS question, CASE s_suppkey % 9 WHEN 0 THEN 'ring' WHEN 1 THEN 'Widget' WHEN 2 THEN 'bolt' WHEN 3 THEN ' economy ' WHEN 4 THEN 'brand#1' WHEN 5 THEN 'ir' WHEN 6 THEN '청년' WHEN 7 THEN '%ed%t' ELSE 'o' END AS t1,
   CASE s_suppkey % 5 WHEN 0 THEN '지원' WHEN 1 THEN 'support' WHEN 2 THEN 'red' WHEN 3 THEN '' END AS t2, CASE WHEN s_suppkey % 13 = 0 THEN 'blue' WHEN s_suppkey % 17 = 0 THEN '지원' END AS keyword,
@@ -28,15 +28,15 @@ def labels(spark, d) -> DataFrame:
     return spark.read.parquet(policy_queries._kept(spark, d, "intervals", lambda path: verdict.intervals(_tree(spark, d)).write.parquet(path)))
 
 
-def _found(spark, d) -> DataFrame:
-    """What every question finds, with the regions of the pairs that its terms find."""
-    rows, index = policy_queries.projection(spark, d), policy_queries.index(spark, d)
-    own = questions.prepared(asked(spark, d))
-    found = cut(questions.pairs(own, index))
-    pairs = found.join(own.select("question", F.explode(F.array_distinct(F.array("region", "preferred_region"))).alias("region")), "question").select("region", F.col("id").alias("policy"))
-    rules = rows.select(F.col("id").alias("policy"), F.explode("regions").alias("code"), F.lit("include").alias("relation"))
-    regions = verdict.regions(pairs, rows.select(F.col("id").alias("policy"), "scope"), rules, labels(spark, d))
-    return questions.answers(questions.projected(rows), asked(spark, d), index, regions, found)
+def _found(spark, d) -> tuple[DataFrame, DataFrame]:
+    """What every question finds, with the regions that questions ask for and policies have."""
+    rows, own = policy_queries.projection(spark, d), asked(spark, d)
+    codes = own.select(F.explode(F.array("region", "preferred_region")).alias("region")).distinct()
+    places = rows.select(F.struct("scope", "regions").alias("policy")).distinct()
+    rules = places.select("policy", F.explode("policy.regions").alias("code"), F.lit("include").alias("relation"))
+    path = scratch(spark, "verdicts")
+    verdict.regions(codes.crossJoin(places), places.select("policy", "policy.scope"), rules, labels(spark, d)).select("region", "policy", "verdict", "reason").write.parquet(path)
+    return questions.grouped(questions.projected(rows), own, policy_queries.index(spark, d), spark.read.parquet(path))
 
 
 def _verdict_of(question: str) -> str:
@@ -79,14 +79,14 @@ a AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, pr
 def golden_questions(spark, d):
     """A question for each supplier, all in one plan; the five best answers of each (a top-k report)."""
     keep = ["score", "preference_matches", "preference_unknowns", "unknown_count", "status_verdict", "age_verdict", "category_verdict", "region_verdict", "region_reason"]
-    return questions.best(_found(spark, d), 5).select("question", "id", "rank", *keep)
+    return questions.best_of(*_found(spark, d), 5).select("question", "id", "rank", *keep)
 
 
 @_query(f"""{_ANSWERS}, r AS (SELECT question, count(*) AS matches, count(*) FILTER (WHERE unknown_count = 0 AND quality = 'valid' AND coalesce(status = 'open', false)) AS confirmed, count(*) FILTER (WHERE unknown_count > 0) AS unknown, min(id) FILTER (WHERE rank = 1) AS first_id FROM a GROUP BY question)
 SELECT q.question, coalesce(matches, 0) AS matches, coalesce(confirmed, 0) AS confirmed, coalesce(unknown, 0) AS unknown, first_id FROM q LEFT JOIN r ON r.question = q.question""")
 def golden_report(spark, d):
     """How many policies answer each question, how many without doubt, and the best one."""
-    return questions.report(_found(spark, d), asked(spark, d), (F.col("quality") == "valid") & (F.col("has_status") == "open"))
+    return questions.report(_found(spark, d)[0], asked(spark, d), (F.col("quality") == "valid") & (F.col("has_status") == "open"))
 
 
 @_query(f"""{_ANSWERS}, w AS (SELECT question, question * 11 % 997 AS expected_id FROM q)
@@ -96,7 +96,7 @@ FROM w LEFT JOIN a ON a.question = w.question AND a.id = expected_id AND a.rank
 def acceptance_of_search(spark, d):
     """Scenarios that expect a policy among a question's first results, held against the search itself."""
     want = asked(spark, d).select(F.col("question").alias("scenario"), (F.col("question") * 11 % 997).alias("expected_id"), F.lit(3).alias("most_rank"), F.create_map(F.lit("age"), F.lit("match"), F.lit("region"), F.lit("match")).alias("expected"))
-    return evidence.acceptance(questions.results(questions.best(_found(spark, d), 20)), want)
+    return evidence.acceptance(questions.results(questions.best_of(*_found(spark, d), 20)), want)
 
 
 @_query(f"""WITH {_P}, u AS (SELECT id, CASE WHEN id % 10 = 0 THEN upper(title) || ' zz' || CAST(id % 7 AS VARCHAR) ELSE title END AS title, summary FROM p WHERE id % 15 <> 5),
