@@ -35,14 +35,16 @@ def taxonomy(key: Column, groups: dict[str, tuple[str, ...]] = TAXONOMY) -> Colu
 def contained_titles(left: DataFrame, right: DataFrame, least: int = 5) -> DataFrame:
     """left and right (id, key): pairs (a, b) of which one key, of ``least`` characters or more, is a proper part of the other.
 
-    A containment is an equi-join: the shorter key's first ``least`` characters must be among the longer one's substrings of
-    that length; pairs that meet are then compared."""
+    A containment is an equi-join: where a part of ``least`` characters begins a shorter key, the longer key gives the parts
+    of all lengths that keys with that beginning have, and these must be whole keys. So only pairs that are found meet."""
 
     def half(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
-        head = short.where(F.length("key") >= least).select(F.col("id").alias(a), F.col("key").alias("s"), F.substring("key", 1, least).alias("g"))
-        grams = F.transform(F.sequence(F.lit(1), F.length("key") - (least - 1)), lambda i: F.substring("key", i, F.lit(least)))
-        body = long.where(F.length("key") > least).select(F.col("id").alias(b), F.col("key").alias("l"), F.explode(F.array_distinct(grams)).alias("g"))
-        return head.join(body, "g").where((F.length("s") < F.length("l")) & F.contains("l", "s")).select("a", "b")
+        whole = short.where(F.length("key") >= least).select(F.col("id").alias(a), F.col("key").alias("s"))
+        heads = whole.groupBy(F.substring("s", 1, least).alias("g")).agg(F.collect_set(F.length("s")).alias("lengths"))
+        spots = F.transform(F.sequence(F.lit(1), F.length("key") - (least - 1)), lambda i: F.struct(F.substring("key", i, F.lit(least)).alias("g"), F.substring(F.col("key"), i, F.length("key")).alias("rest")))
+        body = long.where(F.length("key") > least).select(F.col("id").alias(b), F.length("key").alias("n"), F.explode(spots).alias("x")).select(b, "n", "x.g", "x.rest")
+        parts = body.join(heads, "g").select(b, "rest", F.explode(F.filter("lengths", lambda m: (m < F.col("n")) & (m <= F.length("rest")))).alias("m"))
+        return whole.join(parts.select(b, F.substring(F.col("rest"), F.lit(1), F.col("m")).alias("s")), "s").select(a, b)
 
     return half(left, right, "a", "b").unionByName(half(right, left, "b", "a")).distinct()
 
