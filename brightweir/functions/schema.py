@@ -19,7 +19,10 @@ KNOWN = {"type", "enum", "const", "pattern", "minLength", "maxLength", "minimum"
 
 def kind(v: Column) -> Column:
     """JSON type of a VARIANT: null, boolean, string, integer, number, array or object. Whole numbers are integers however written."""
-    name = F.schema_of_variant(v)
+    return F.transform(F.array(F.struct(v.alias("v"), F.schema_of_variant(v).alias("name"))), lambda x: _kind(x["v"], x["name"]))[0]
+
+
+def _kind(v: Column, name: Column) -> Column:
     whole = F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double"))
     return (
         F.when(name == "VOID", "null").when(name == "BOOLEAN", "boolean").when(name == "STRING", "string").when(name == "BIGINT", "integer")
@@ -39,12 +42,21 @@ def _faults(v: Column, path: Column, schema: dict, defs: dict, depth: int) -> Co
         return _faults(v, path, defs[schema["$ref"].removeprefix("#/$defs/")], defs, depth + 1)
     if unknown := set(schema) - KNOWN:
         raise ValueError(f"not understood: {sorted(unknown)}")
-    # What a value is, is looked up once: the array's element is bound, not copied.
-    return F.transform(F.array(F.struct(v.alias("v"), kind(v).alias("k"), path.alias("p"))), lambda x: _own(x["v"], x["k"], x["p"], schema, defs, depth))[0]
+    # What a value is and holds is looked up once: the array's element is bound, not copied.
+    def opened(x: Column) -> Column:
+        v, k = x["v"], x["k"]
+        text = F.when(k == "string", F.try_variant_get(v, "$", "string"))
+        number = F.when(k.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
+        fields = F.when(k == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+        parts = F.when(k == "array", F.try_variant_get(v, "$", "array<variant>"))
+        return F.struct(v.alias("v"), k.alias("k"), x["p"].alias("p"), text.alias("text"), number.alias("number"), fields.alias("fields"), parts.alias("parts"))
+
+    one = F.transform(F.array(F.struct(v.alias("v"), kind(v).alias("k"), path.alias("p"))), opened)
+    return F.transform(one, lambda x: _own(x, schema, defs, depth))[0]
 
 
-def _own(v: Column, k: Column, path: Column, schema: dict, defs: dict, depth: int) -> Column:
-    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+def _own(x: Column, schema: dict, defs: dict, depth: int) -> Column:
+    v, k, path, text, number, fields, parts = (x[c] for c in ("v", "k", "p", "text", "number", "fields", "parts"))
     is_text, is_number = k == "string", k.isin("integer", "number")
     literal = F.when(is_text, F.to_json(F.array(text))).otherwise(F.concat(F.lit("["), F.to_json(v), F.lit("]")))
     out = []
@@ -69,8 +81,6 @@ def _own(v: Column, k: Column, path: Column, schema: dict, defs: dict, depth: in
         fault(is_number & (number < schema["minimum"]), "minimum")
     if "maximum" in schema:
         fault(is_number & (number > schema["maximum"]), "maximum")
-    fields = F.when(k == "object", F.try_variant_get(v, "$", "map<string,variant>"))
-    parts = F.when(k == "array", F.try_variant_get(v, "$", "array<variant>"))
     has = lambda name: F.coalesce(F.map_contains_key(fields, name), F.lit(False))
     for name in schema.get("required", []):
         fault((k == "object") & ~has(name), "required", F.concat(path, F.lit(f".{name}")))

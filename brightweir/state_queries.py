@@ -144,7 +144,8 @@ def schema_faults(spark, d):
     status = F.when(b == 2, '"gone"').when(b == 3, "null").otherwise('"open"')
     text = F.concat(F.lit('{"id":'), ids, F.lit(',"title":'), quoted(F.col("p_name")), F.lit(',"status":'), status, F.lit(',"size":'), n, F.when(e != 1, F.concat(F.lit(',"ages":'), ages)).otherwise(""), F.when(c == 3, ',"more":{}').otherwise(""), F.lit("}"))
     found = schema.faults(F.parse_json(text), _PROGRAM)
-    return table(spark, d, "part").select(k.alias("id"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["path"], x["code"])), ",").alias("faults"))
+    # A small file is one split, so the rows are dealt out before they are checked.
+    return table(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism).select(k.alias("id"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["path"], x["code"])), ",").alias("faults"))
 
 
 @_query("""WITH r AS (SELECT sha256('{"k":' || o_orderkey || '}') AS k, sha256('{"c":' || o_custkey || ',"k":' || o_orderkey || ',"s":"' || o_orderstatus || '"}') AS h FROM orders),
