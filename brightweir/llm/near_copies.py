@@ -3,7 +3,11 @@
 *Sets.* Shingles as in ``simhash.shingle_hashes``, as sets of 64-bit hashes. Texts with equal sets are one node, named by a
 128-bit hash of the set. A text without words has the empty set.
 
-*Candidates.* ``BANDS`` bands of ``ROWS`` minima each (MinHash). Two sets of similarity s share a bucket with probability
+*Fingerprints.* Each set has a SimHash fingerprint by op8's votes, and op8's operator (buckets of bands, bit planes, carry-save
+counters) links those at ``RADIUS`` or fewer differing bits. Sets with one fingerprint are linked with the first of them.
+
+*Candidates.* No radius that can be searched holds all pairs of the similarity (at 0.8 about 10 of 64 bits differ, give or take
+3), so what fingerprints don't join is searched on: ``BANDS`` bands of ``ROWS`` minima each (MinHash). Two sets of similarity s share a bucket with probability
 1 - (1 - s ** ROWS) ** BANDS: at 0.8 about 7 pairs in a million are missed, above it fewer. Sizes that rule out the
 similarity are dropped. Each member of a bucket is first compared with the bucket's ``LEADERS`` leaders, drawn anew for each
 bucket, so that a member of a large group meets several. Then what is still outside its bucket's largest component is
@@ -11,7 +15,7 @@ compared with all members of other components, so that no link of a bucket is lo
 pairs are thinned by parities: a set's 512 bits say of which of 512 residues it has an odd number of hashes; two sets
 differ in as many elements as bits at least, so most pairs below the similarity are ruled out, and none at or above it.
 
-*Check.* Every candidate is checked with the sets themselves, in whole numbers.
+*Check.* Every candidate, of fingerprints and of buckets alike, is checked with the sets themselves, in whole numbers.
 
 Null texts count as empty. Null ids and repeated rows are rows like any other. An empty table gives an empty result.
 """
@@ -28,11 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.llm.arrow import as_bytes, pieces
-from brightweir.llm.simhash import components, one_of_each, shingle_hashes, text_key
+from brightweir.llm.simhash import components, near_links, one_of_each, shingle_hashes, text_key, votes
+from brightweir.operators.audit import met
 from brightweir.session import cut
 
 BANDS, ROWS, WORDS = 30, 5, 5
 LEADERS = 2
+#: Bits in which the fingerprints of a candidate pair differ at most.
+RADIUS = 7
 PARITY = 8  # words of 64 bits
 #: Similarity as a fraction.
 LEAST = (4, 5)
@@ -76,7 +83,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def with_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, node, high, n, parity, buckets): one row per row of docs; n is the size of the set, high the node's first 8 bytes."""
+    """(id, key, node, fp, n, parity, buckets): one row per row of docs; n is the size of the set, fp its fingerprint."""
     base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,13 +91,13 @@ def with_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in pieces(batch, "text", 2 << 20):
                 sets = [shingle_set(t) for t in as_bytes(part["text"])]
                 names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                high = pa.array([int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64())
+                prints = votes(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).view(np.int64)
                 keys = pa.array([bucket_keys(s) for s in sets], pa.list_(pa.int64()))
                 odd = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
-                cols = [part["id"], part["key"], pa.array(names, pa.binary()), high, pa.array([len(s) for s in sets], pa.int32()), odd, keys]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "node", "high", "n", "parity", "buckets"])
+                cols = [part["id"], part["key"], pa.array(names, pa.binary()), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), odd, keys]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "node", "fp", "n", "parity", "buckets"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, key binary, node binary, high long, n int, parity array<long>, buckets array<long>")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, key binary, node binary, fp long, n int, parity array<long>, buckets array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -121,24 +128,40 @@ def near_enough(m: str, n: str):
     return LEAST[1] * F.least(m, n) >= LEAST[0] * F.greatest(m, n)
 
 
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp, n): (a, b), enough to connect all whose fingerprints differ in ``RADIUS`` bits at most, less those of
+    sizes that rule out the similarity."""
+    first = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("of"), F.count(F.lit(1)).alias("many"))
+    of = lambda x: first.select(F.col("fp").alias(x), F.col("of").alias(f"of_{x}"))
+    apart = near_links(first.select("fp"), RADIUS).join(of("a"), "a").join(of("b"), "b")
+    same = met(nodes.select("node", "fp", "n"), first.where("many > 1").select("fp", "of"), "fp").where("of.node <> node")
+    pairs = apart.select("of_a", "of_b").unionByName(same.select(F.struct("node", "n").alias("of_a"), F.col("of").alias("of_b")))
+    return pairs.where(near_enough("of_a.n", "of_b.n")).select(*ordered("of_a.node", "of_b.node"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, key (of the text), node, root (the same for all rows of a component)."""
     prints = cut(with_buckets(docs, id_col, text_col))
-    nodes = prints.groupBy("node").agg(F.min("key").alias("key"), F.first("high").alias("high"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets")).where("n > 0")
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets")).where("n > 0")
+    small = cut(prints.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    close = cut(fingerprint_pairs(small))
     # A bucket's number has its band in it. Counting goes by fixed-width values alone, so tasks sum up hot buckets before the shuffle.
-    dealt = nodes.select("node", "key", "n", F.explode("buckets").alias("bucket"), "high")
-    ranks = [F.xxhash64("bucket", "high", F.lit(k)).alias(f"rank{k}") for k in range(LEADERS)]
-    dealt = dealt.select("node", "key", "n", "bucket", *ranks)
-    crowded = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), *[F.min(f"rank{k}").alias(f"least{k}") for k in range(LEADERS)]).where("many > 1").drop("many")
-    leads = functools.reduce(Column.__or__, [F.col(f"rank{k}") == F.col(f"least{k}") for k in range(LEADERS)])
-    dealt = cut(dealt.join(crowded, "bucket").select("node", "key", "n", "bucket", leads.alias("leads")))
-    wanted = dealt.groupBy("node").agg(F.first("key").alias("key"))
+    dealt = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
+    rank = lambda k: F.xxhash64("bucket", "node", F.lit(k))
+    crowded = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), *[F.min(rank(k)).alias(f"least{k}") for k in range(LEADERS)]).where("many > 1").drop("many")
+    leads = functools.reduce(Column.__or__, [rank(k) == F.col(f"least{k}") for k in range(LEADERS)])
+    dealt = cut(dealt.join(crowded, "bucket").select("node", "n", "bucket", leads.alias("leads")))
+    wanted = dealt.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(small, "node").select("node", "key")
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(wanted, "key")
     sets = cut(shingle_sets(texts.select("node", "text")).dropDuplicates(["node"]))
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     leaders = dealt.where("leads").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"))
-    tried = dealt.join(leaders, "bucket").where((F.col("node") != F.col("other")) & near_enough("n", "m")).select(*ordered("node", "other")).distinct()
+    tried = dealt.join(leaders, "bucket").where((F.col("node") != F.col("other")) & near_enough("n", "m")).select(*ordered("node", "other"))
+    tried = tried.unionByName(close).distinct()
     links = cut(checked(tried, sets))
     placed = cut(dealt.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
     # What is not in a bucket's largest component yet is compared with all that is in another one.

@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id: SimHash
+    fingerprints linked by op8's operator, then MinHash buckets for what they leave apart, all checked with the sets."""
     return near_copies.representatives(docs)
 
 

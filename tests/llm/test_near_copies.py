@@ -81,3 +81,37 @@ def test_parities_rule_out_no_similar_pair(spark):
     df = spark.createDataFrame([tuple(int(x) if not isinstance(x, bool) else x for x in p) for p in pairs], cols)
     got = df.select("alike", near_copies.few_enough("m", "n").alias("may")).collect()
     assert all(x.may for x in got if x.alike) and sum(x.alike for x in got) > 20 and sum(not x.may for x in got) > 100
+
+
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    """With a bucket of its own for each set, MinHash finds nothing: what is dropped was linked by op8's operator."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    r, found = random.Random(6), near_copies.with_buckets
+    bases = [words(r, 300) for _ in range(40)]
+    texts = [" ".join(x) for b in bases for x in (b, [*b[:-1], "new"])]
+    monkeypatch.setattr(near_copies, "with_buckets", lambda *a: found(*a).withColumn("buckets", F.array(F.xxhash64("node"))))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = {x.doc_id for x in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert kept == set(range(0, len(texts), 2))
+
+
+def test_fingerprint_pairs_connect_all_within_the_radius(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(20)]
+    prints = [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(12))) for b in base for _ in range(8)]
+    prints += prints[:30]
+    nodes = spark.createDataFrame([(i.to_bytes(4), p - (1 << 64) if p >> 63 else p, 10) for i, p in enumerate(prints)], "node binary, fp long, n int")
+    got = {(int.from_bytes(x.a), int.from_bytes(x.b)) for x in near_copies.fingerprint_pairs(nodes).collect()}
+    near = {(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= near_copies.RADIUS}
+
+    def parts(links):
+        up = list(range(len(prints)))
+        root = lambda x: x if up[x] == x else root(up[x])
+        for a, b in links:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+        return [root(i) for i in range(len(prints))]
+
+    assert got <= near and len(got) < len(near) and parts(got) == parts(near)
