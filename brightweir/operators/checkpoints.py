@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightweir.operators import versions
+from brightweir.session import cut
 
 # Outcomes of a decision, and those that a failed one can be given later.
 OUTCOMES = ("accepted", "duplicate", "review", "closed", "failed")
@@ -24,13 +25,17 @@ RECLAIMED = ("review", "closed")
 ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 
 
-def _named(events: DataFrame) -> DataFrame:
-    """(source, seq, kind, id, outcome): a row for each identity that an event names, with what came before it."""
+def _mentions(events: DataFrame) -> DataFrame:
+    """(source, seq, kind, id, outcome): a row for each identity that an event names, as often as it names it."""
     named = F.when(F.col("kind").isin("discover", "amend", "capture"), F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("outcome")))).otherwise(
         F.transform(F.map_entries(F.coalesce("outcomes", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("outcome")))
     )
-    rows = events.select("source", "seq", "kind", F.explode(named).alias("x")).select("source", "seq", "kind", "x.id", "x.outcome")
-    rows = rows.groupBy("source", "seq", "kind", "id").agg(F.max("outcome").alias("outcome"))
+    return events.select("source", "seq", "kind", F.explode(named).alias("x")).select("source", "seq", "kind", "x.id", "x.outcome")
+
+
+def _named(events: DataFrame) -> DataFrame:
+    """``_mentions``, each once, with what came before it. One shuffle and one sort serve both the grouping and the window."""
+    rows = _mentions(events).repartition("source", "id").groupBy("source", "id", "seq", "kind").agg(F.max("outcome").alias("outcome"))
     before = Window.partitionBy("source", "id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     had = lambda *kinds: F.coalesce(F.max(F.col("kind").isin(*kinds)).over(before), F.lit(False))
     decided = F.when(F.col("kind").isin("decide", "reclaim", "redecide"), F.col("outcome"))
@@ -53,8 +58,9 @@ def judged(events: DataFrame) -> DataFrame:
         n(~F.coalesce(F.col("id").rlike(ID), F.lit(False))).alias("misnamed"),
     )
     kind = F.col("kind")
-    rows = events.join(per, ["source", "seq"], "left").fillna(0, ["n", "new", "again", "decided", "bare", "odd", "unfit", "lost", "misnamed"])
-    rows = rows.withColumn("repeats", F.coalesce(F.size("ids"), F.lit(0)) > F.col("n"))
+    # Counted here, so that lists which nobody asks for later need not be shuffled.
+    rows = events.withColumn("__told", F.coalesce(F.size("ids"), F.lit(0))).join(per, ["source", "seq"], "left").fillna(0, ["n", "new", "again", "decided", "bare", "odd", "unfit", "lost", "misnamed"])
+    rows = rows.withColumn("repeats", F.col("__told") > F.col("n"))
     so_far = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     finds = kind.isin("discover", "amend")
     total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
@@ -113,20 +119,32 @@ def summary(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """By source: next_page, total, found, captured, decided, failed, pending (not captured and not failed), discovered, complete, and
     the first fault with its seq."""
     rows = judged(events) if rows is None else rows
-    first = rows.where("fault IS NOT NULL").groupBy("source").agg(F.min(F.struct("seq", "fault")).alias("f"))
-    valid = _valid(rows)
-    pages = valid.groupBy("source").agg(
-        (F.count_if(F.col("kind") == "discover") + 1).alias("next_page"),
-        F.max_by("total", F.when((F.col("kind") == "discover") & F.col("total").isNotNull(), F.col("seq"))).alias("total"),
-        F.coalesce(F.bool_or((F.col("kind") == "discover") & ~F.coalesce("has_next", F.lit(False))), F.lit(False)).alias("discovered"),
+    up_to = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    valid = ~F.max(F.col("fault").isNotNull()).over(up_to)
+    rows = rows.select("source", "seq", "kind", "total", F.coalesce("has_next", F.lit(False)).alias("has_next"), "fault", valid.alias("valid"))
+    page = F.col("valid") & (F.col("kind") == "discover") & F.col("source").isNotNull()
+    # A row a source: what the judging of events is for. Written, as both the events that count and the result need it.
+    sources = cut(rows.groupBy("source").agg(
+        (F.count_if(page) + 1).cast("long").alias("next_page"),
+        F.max_by("total", F.when(page & F.col("total").isNotNull(), F.col("seq"))).alias("total"),
+        F.coalesce(F.bool_or(page & ~F.col("has_next")), F.lit(False)).alias("discovered"),
+        F.min(F.when(F.col("fault").isNotNull() & F.col("source").isNotNull(), F.struct("seq", "fault"))).alias("f"),
+    ))
+    counted = events.select("source", "seq", "kind", "ids", "outcomes").join(sources.select("source", F.col("f.seq").alias("until")), "source").where("until IS NULL OR seq < until")
+    # Fixed-width values alone, so that tasks sum up an identity's events by hash before the shuffle. Outcomes of valid events are not null.
+    states = _mentions(counted).groupBy("source", "id").agg(
+        F.max((F.col("kind") == "capture").cast("int")).alias("captured"),
+        F.max(F.when(F.col("outcome") == "failed", F.col("seq"))).alias("failed_at"),
+        F.max(F.when(F.col("outcome") != "failed", F.col("seq"))).alias("other_at"),
     )
-    per = identities(events, rows).groupBy("source").agg(
-        F.count(F.lit(1)).alias("found"), F.count_if(F.col("captured")).alias("captured"), F.count("outcome").alias("decided"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(~F.col("captured") & F.coalesce(F.col("outcome") != "failed", F.lit(True))).alias("pending")
+    failed = F.col("failed_at").isNotNull() & F.coalesce(F.col("failed_at") > F.col("other_at"), F.lit(True))
+    per = states.groupBy("source").agg(
+        F.count(F.lit(1)).alias("found"), F.sum("captured").alias("captured"), F.count_if(F.coalesce("failed_at", "other_at").isNotNull()).alias("decided"), F.count_if(failed).alias("failed"), F.count_if((F.col("captured") == 0) & ~failed).alias("pending")
     )
-    out = events.select("source").distinct().join(pages, "source", "left").join(per, "source", "left").join(first, "source", "left")
+    out = sources.join(per, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     done = F.coalesce(F.col("discovered") & (F.col("decided") == F.col("found")), F.lit(False))
-    return out.select("source", F.coalesce("next_page", F.lit(1)).cast("long").alias("next_page"), "total", *[zero(c) for c in ("found", "captured", "decided", "failed", "pending")], F.coalesce("discovered", F.lit(False)).alias("discovered"), done.alias("complete"), F.col("f.fault").alias("fault"), F.col("f.seq").alias("fault_at"))
+    return out.select("source", "next_page", "total", *[zero(c) for c in ("found", "captured", "decided", "failed", "pending")], "discovered", done.alias("complete"), F.col("f.fault").alias("fault"), F.col("f.seq").alias("fault_at"))
 
 
 def save(events: DataFrame, root: str) -> int:

@@ -82,13 +82,16 @@ def checkpoint_fold(spark, d):
         "decide": (F.size("new") > 0, 2, None, each(F.col("new"), lambda p: told(p, F.col("o") % 31 == 0))),
         "reclaim": (F.size(back) > 0, 3, None, each(back, lambda p: F.lit("review"))),
     }
-    events = None
-    for kind, (there, step, ids, outcomes) in kinds.items():
-        one = rows.where(there).select(
-            F.concat(F.lit("c"), "c").alias("source"), (F.col("page") * 10 + step).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(step) == 0, F.col("page") + (F.col("o") % 29 == 0).cast("int")).cast("int").alias("page"),
+    one = lambda kind, there, step, ids, outcomes: F.when(
+        there,
+        F.struct(
+            (F.col("page") * 10 + step).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(step) == 0, F.col("page") + (F.col("o") % 29 == 0).cast("int")).cast("int").alias("page"),
             (F.lit(None).cast("array<string>") if ids is None else F.col(ids) if isinstance(ids, str) else ids).alias("ids"), F.lit(None).cast("long").alias("total"), F.when(F.lit(step) == 0, F.col("has_next")).alias("has_next"), (F.lit(None).cast("map<string,string>") if outcomes is None else outcomes).alias("outcomes"),
-        )
-        events = one if events is None else events.unionByName(one)
+        ),
+    )
+    # An order's events come from one row, so that orders and lines are read and joined once.
+    each_row = F.explode(F.array_compact(F.array(*[one(kind, *rest) for kind, rest in kinds.items()])))
+    events = rows.select(F.concat(F.lit("c"), "c").alias("source"), each_row.alias("e")).select("source", "e.*")
     return checkpoints.summary(cut(events)).drop("total")
 
 

@@ -198,3 +198,12 @@ def test_a_followed_folder_that_dies_ends_in_the_same_table(spark, tmp_path):
         last[i] = max(last.get(i, (datetime.datetime.min, "", "")), (at, t, b))
     assert len(tables[0]) == len(last) == 40 and tables[0] == tables[1] == tables[2]
     assert all(any(repr(t) in row for row in tables[0]) for _, t, _ in last.values())
+
+
+def test_what_an_event_names_is_shuffled_once(spark):
+    rows = [("a", 0, "discover", 1, ["x", "y", "x"], None, True, None), ("a", 1, "discover", 2, ["z"], None, False, None), (None, 0, "discover", 1, ["x"], None, False, None)]
+    named = checkpoints._named(spark.createDataFrame(rows, EVENT))
+    plan = named._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and sorted((r.id, r.found) for r in named.where("source = 'a'").collect()) == [("x", False), ("y", False), ("z", False)]
+    got = {r.source: (r.next_page, r.found, r.discovered, r.fault, r.fault_at) for r in checkpoints.summary(spark.createDataFrame(rows, EVENT)).collect()}
+    assert got == {"a": (1, 0, False, "page", 0), None: (1, 0, False, None, None)}
