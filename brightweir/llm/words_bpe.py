@@ -3,7 +3,8 @@
 The tokenizer normalises to NFC, lower-cases, drops white space and cuts between letters and punctuation, so a text's
 ids are those of its words one after another. Texts are cut at white space and between a letter and ``.,!?;:``, distinct
 words are encoded and ids put together again. This holds for texts of printable Latin-1 characters, tabs and line ends
-without ``<|``; all others go through the tokenizer as they are. Tests compare both ways.
+without ``<|``; all others go through the tokenizer as they are. Tests compare both ways. A word of ASCII letters is what the
+normaliser and the cutting leave of it, so such words go to the tokenizer's model at once, parted by spaces.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ import pyarrow.compute as pc
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN_WORD = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Words that are encoded as one text: the time of a long text grows faster than its length.
+_AT_ONCE = 200
 _OTHER = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ff}]|<\|"
 MOST_WORDS = 200_000
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    """most: words that are held at once; beyond, all are forgotten."""
+
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,31 +52,44 @@ class WordEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = [np.empty(0, np.uint32)]
-        self.sizes: list[int] = []
+        self.sizes = [np.empty(0, np.int64)]
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @functools.cached_property
+    def bare(self):
+        """The tokenizer's model behind a cut at spaces, for words of lower-case ASCII letters."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer(self.tokenizer.model)
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = "a test of words with letters qzxv"
+        return bare if bare.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids else self.tokenizer
+
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN_WORD(w)]
-        other = [w for w in words if not _PLAIN_WORD(w)]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.direct([" ".join(part)])[0], np.uint32)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(part):
-                other += part
-                continue
-            self._keep(part, ids, np.diff(last, prepend=0).tolist())
+        other = []
+        ascii_, latin = [], []
+        for w in words:
+            (other if not _PLAIN_WORD(w) else ascii_ if w.isascii() else latin).append(w)
+        for tokenizer, plain in ((self.bare, ascii_), (self.tokenizer, latin)):
+            parts = [plain[i : i + _AT_ONCE] for i in range(0, len(plain), _AT_ONCE)]
+            for part, found in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) != len(part):
+                    other += part
+                    continue
+                self._keep(part, ids, np.diff(last, prepend=0))
         for i in range(0, len(other), 2000):
             part = self.direct(other[i : i + 2000])
             self._keep(other[i : i + 2000], np.array([x for p in part for x in p], np.uint32), list(map(len, part)))
 
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: list[int]) -> None:
-        at = len(self.sizes)
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: list[int] | np.ndarray) -> None:
+        at = len(self.known)
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
         self.flat.append(ids)
-        self.sizes += sizes
+        self.sizes.append(np.asarray(sizes, np.int64))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
@@ -89,16 +108,17 @@ class WordEncoder:
         edges = lists.offsets.to_numpy()
         words = lists.flatten().dictionary_encode()
         values = words.dictionary.to_pylist()
-        if len(self.known) + len(values) > MOST_WORDS:
-            self._forget()
         new = [w for w in values if w not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self._forget()
+            new = values
         if new:
             self._learn(new)
         if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
-        sizes = np.array(self.sizes, np.int64)
+            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        sizes = self.sizes[0]
         starts = np.cumsum(sizes) - sizes
-        which = np.fromiter((self.known[w] for w in values), np.int64, len(values))[words.indices.to_numpy()]
+        which = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[words.indices.to_numpy()]
         n = sizes[which]
         ends = np.cumsum(n)
         flat = self.flat[0][np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -111,4 +131,4 @@ class WordEncoder:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One a worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path, 3 * MOST_WORDS)

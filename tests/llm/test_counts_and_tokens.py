@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -200,3 +201,21 @@ def test_collocations_of_nothing_and_of_large_numbers(spark):
     docs = table(spark, [(1, text, "en", "s")])
     got = collocations.collocations(docs, scale=10**9 - 1).collect()
     assert [(r.phrase, r.a, r.n, r.score) for r in got if r.phrase == "one two"] == [("one two", 60_000, 4_120_000, (10**9 - 1) * 60_000 * 4_120_000 // 60_000**2)]
+
+
+def test_words_are_learned_once_and_as_the_library_says(monkeypatch):
+    """250,000 words, more than were held before, in two pieces; then both again."""
+    from brightweir.llm import words_bpe
+
+    r, path = random.Random(3), public_tokenizers.path("word_bpe_49k.json")
+    words = sorted({"".join(r.choices("abcdeilmnorstu", k=r.randrange(4, 10))) for _ in range(250_000)})
+    words += ["été", "straße", "it's", "a1b2", "...x", "don't-", "x" * 300]
+    pieces = [pa.array([" ".join(words[k::2]), None, "One, two; Été."]) for k in range(2)]
+    encode = words_bpe.encoder.__wrapped__(path)
+    learned, learn = [], encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda new: (learned.extend(new), learn(new)))
+    got = [[x.tolist() for x in encode.encode(p)] for p in pieces * 2]
+    assert got[:2] == got[2:] and len(learned) == len(set(learned)) > words_bpe.MOST_WORDS
+    of_words = [e.ids for e in encode.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [g[0] for g in got[:2]] == [[i for ids in of_words[k::2] for i in ids] for k in range(2)]
+    assert got[0][1] == [] and got[0][2] == encode.tokenizer.encode("One, two; Été.", add_special_tokens=False).ids
