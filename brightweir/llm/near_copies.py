@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from brightweir.llm.arrow import as_bytes, pieces
 from brightweir.llm.simhash import components, near_links, one_of_each, shingle_hashes, text_key, votes
 from brightweir.operators.audit import met
-from brightweir.session import cut
+from brightweir.session import cut, swept
 
 BANDS, ROWS, WORDS = 30, 5, 5
 LEADERS = 2
@@ -148,27 +148,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = cut(with_buckets(docs, id_col, text_col))
     nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets")).where("n > 0")
     small = cut(prints.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    close = cut(fingerprint_pairs(small))
+    close = swept(fingerprint_pairs(small))
     # A bucket's number has its band in it. Counting goes by fixed-width values alone, so tasks sum up hot buckets before the shuffle.
     dealt = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     rank = lambda k: F.xxhash64("bucket", "node", F.lit(k))
     crowded = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), *[F.min(rank(k)).alias(f"least{k}") for k in range(LEADERS)]).where("many > 1").drop("many")
     leads = functools.reduce(Column.__or__, [rank(k) == F.col(f"least{k}") for k in range(LEADERS)])
-    dealt = cut(dealt.join(crowded, "bucket").select("node", "n", "bucket", leads.alias("leads")))
+    dealt = swept(dealt.join(crowded, "bucket").select("node", "n", "bucket", leads.alias("leads")))
     wanted = dealt.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(small, "node").select("node", "key")
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(wanted, "key")
-    sets = cut(shingle_sets(texts.select("node", "text")).dropDuplicates(["node"]))
+    sets = swept(shingle_sets(texts.select("node", "text")).dropDuplicates(["node"]))
 
     leaders = dealt.where("leads").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"))
     tried = dealt.join(leaders, "bucket").where((F.col("node") != F.col("other")) & near_enough("n", "m")).select(*ordered("node", "other"))
     tried = tried.unionByName(close).distinct()
-    links = cut(checked(tried, sets))
-    placed = cut(dealt.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
+    links = swept(checked(tried, sets))
+    placed = swept(dealt.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
     # What is not in a bucket's largest component yet is compared with all that is in another one.
     sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     odd = nodes.select("node", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
-    mixed = cut(placed.join(largest, "bucket").join(odd, "node"))
+    mixed = swept(placed.join(largest, "bucket").join(odd, "node"))
     minor = mixed.where("root <> main").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("elsewhere"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY)])
     rest = mixed.join(minor, "bucket").where((F.col("root") != F.col("elsewhere")) & near_enough("n", "m") & few_enough("n", "m"))
     rest = rest.select(*ordered("node", "other")).distinct().join(tried, ["a", "b"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -73,5 +74,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """``cut``, then Spark deletes the shuffle files of cuts before that nothing can read any more; else they stay until the driver
+    happens to collect its garbage."""
+    out = cut(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

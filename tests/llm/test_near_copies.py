@@ -115,3 +115,10 @@ def test_fingerprint_pairs_connect_all_within_the_radius(spark):
         return [root(i) for i in range(len(prints))]
 
     assert got <= near and len(got) < len(near) and parts(got) == parts(near)
+
+
+def test_near_copies_lets_go_of_shuffles_between_its_steps(spark, monkeypatch):
+    swept, calls = near_copies.swept, []
+    monkeypatch.setattr(near_copies, "swept", lambda df: (calls.append(1), swept(df))[1])
+    docs = spark.createDataFrame([(i, "a b c d e f g", "en", "s", 13) for i in range(3)], DOCS)
+    assert [x.doc_id for x in near_copies.representatives(docs).collect()] == [0] and len(calls) == 6
