@@ -35,6 +35,8 @@ from brightweir.operators.audit import met
 from brightweir.session import cut
 
 SEED = 42
+#: Buckets of fewer fingerprints are compared several at once, as a comparison has a cost of its own; what links across buckets is a link too.
+SMALL = 512
 FULL = np.uint64((1 << 64) - 1)
 
 
@@ -176,18 +178,28 @@ def near_links(nodes: DataFrame, radius: int, tile: int = 16384, target: int = 1
     crowded = keyed.groupBy("band", "key").count().where(F.col("count") > 1).withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count")
     # A tile of its own for most buckets; t * (t + 1) / 2 pairs of tiles for a crowded one, each row being in t of them.
     own = F.pmod(F.xxhash64("fp", "band"), F.col("tiles").cast("long")).cast("int")
-    dealt = keyed.join(crowded, ["band", "key"]).withColumn("own", own)
+    # Both sides are rows for each band, which Spark sizes as rows of nodes: left to itself it may send the larger one to the driver.
+    dealt = keyed.join(crowded.hint("merge"), ["band", "key"]).withColumn("own", own)
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("fp", "band", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), (F.col("own") > F.col("with")).alias("second"))
     sorted_ = dealt.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "second", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        small: list[np.ndarray] = []
+
+        def together() -> list[tuple[int, int]]:
+            fps = np.unique(np.concatenate(small))
+            small.clear()
+            return bucket_links(fps, None, radius)
 
         def links(rows: np.ndarray) -> list[tuple[int, int]]:
             fps, second = rows[:, 0].view(np.uint64), rows[:, 5] == 1
             if rows[0, 3] == rows[0, 4]:
-                return bucket_links(fps, None, radius) if len(fps) > 1 else []
+                if len(fps) >= SMALL:
+                    return bucket_links(fps, None, radius)
+                small.append(fps)
+                return together() if len(small) >= SMALL // 2 or sum(map(len, small)) >= SMALL else []
             return bucket_links(fps[~second], fps[second], radius) if second.any() and not second.all() else []
 
         def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -214,6 +226,8 @@ def near_links(nodes: DataFrame, radius: int, tile: int = 16384, target: int = 1
                 yield out(pairs)
         if held:
             yield out(links(np.concatenate(held)))
+        if small:
+            yield out(together())
 
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
@@ -244,7 +258,7 @@ def placed(prints: DataFrame, radius: int, salts: int = 16) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp").join(nodes, "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(ids, ["root", "salt"]).select("fp", "root", "component_id", F.lit(True).alias("linked"))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(ids.hint("merge"), ["root", "salt"]).select("fp", "root", "component_id", F.lit(True).alias("linked"))
     out = nodes.join(linked, "fp", "left").where("linked OR n > 1")
     return out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
 

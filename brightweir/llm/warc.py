@@ -78,7 +78,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     # digest are dealt to several parts, so that one that a third of the pages share is no single task's.
     best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = light.select("page", "sha1", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int").alias("salt"))
-    notes = salted.join(best, ["sha1", "salt"]).select("page", "sha1", "response").distinct()
+    notes = salted.join(best.hint("merge"), ["sha1", "salt"]).select("page", "sha1", "response").distinct()
     rows = base.select("page", F.unhex(F.sha1("payload")).alias("sha1"), "url", "payload", F.lit(None).cast("long").alias("response"), F.lit(1).alias("what"))
     rows = rows.unionByName(notes.select("page", "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "response", F.lit(0).alias("what")))
     dealt = rows.withColumn("shard", shards.bin_of(F.col("page"), edges)).repartitionById(len(edges) + 1, "shard")

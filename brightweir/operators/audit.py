@@ -38,10 +38,11 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[Column], n: int |
 
 def met(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """Left join of many rows with a row a key, where a key may hold much of the left side: its rows are dealt to several parts, and
-    the right side, which should have repeated keys alone, goes to all of them."""
+    the right side, which should have repeated keys alone, goes to all of them. Spark sizes that side as if it were there once, so
+    whether to broadcast it is not left to Spark."""
     a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "__salt"], "left").drop("__salt")
+    return a.join(b.hint("merge"), [key, "__salt"], "left").drop("__salt")
 
 
 def transitions(old: DataFrame, new: DataFrame, key: str, state: str, allowed: set[tuple[str, str]]) -> DataFrame:
