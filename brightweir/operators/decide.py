@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightweir.operators.normalize import NATIONWIDE, youth_marked
+from brightweir.session import cut
 
 # Marker words of the youth taxonomy by group.
 TAXONOMY = {
@@ -31,20 +32,29 @@ def taxonomy(key: Column, groups: dict[str, tuple[str, ...]] = TAXONOMY) -> Colu
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
+#: Beginnings of keys, some 100 bytes each, that go to every worker.
+FEW = 50_000
+
+
 # Duplicates -----------------------------------------------------------------------------------------------------------
 def contained_titles(left: DataFrame, right: DataFrame, least: int = 5) -> DataFrame:
     """left and right (id, key): pairs (a, b) of which one key, of ``least`` characters or more, is a proper part of the other.
 
     A containment is an equi-join: where a part of ``least`` characters begins a shorter key, the longer key gives the parts
-    of all lengths that keys with that beginning have, and these must be whole keys. So only pairs that are found meet."""
+    of all lengths that keys with that beginning have, and these must be whole keys. So only pairs that are found meet.
+
+    Keys may be far longer than Spark takes them to be, and a key is a row for each of its parts, so which side goes to every
+    worker is not left to Spark: beginnings do, if few, and else nothing."""
 
     def half(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
         whole = short.where(F.length("key") >= least).select(F.col("id").alias(a), F.col("key").alias("s"))
         heads = whole.groupBy(F.substring("s", 1, least).alias("g")).agg(F.collect_set(F.length("s")).alias("lengths"))
         spots = F.transform(F.sequence(F.lit(1), F.length("key") - (least - 1)), lambda i: F.struct(F.substring("key", i, F.lit(least)).alias("g"), F.substring(F.col("key"), i, F.length("key")).alias("rest")))
         body = long.where(F.length("key") > least).select(F.col("id").alias(b), F.length("key").alias("n"), F.explode(spots).alias("x")).select(b, "n", "x.g", "x.rest")
+        heads = cut(heads)
+        heads = F.broadcast(heads) if heads.count() <= FEW else heads.hint("merge")
         parts = body.join(heads, "g").select(b, "rest", F.explode(F.filter("lengths", lambda m: (m < F.col("n")) & (m <= F.length("rest")))).alias("m"))
-        return whole.join(parts.select(b, F.substring(F.col("rest"), F.lit(1), F.col("m")).alias("s")), "s").select(a, b)
+        return whole.join(parts.select(b, F.substring(F.col("rest"), F.lit(1), F.col("m")).alias("s")).hint("merge"), "s").select(a, b)
 
     return half(left, right, "a", "b").unionByName(half(right, left, "b", "a")).distinct()
 
@@ -56,13 +66,14 @@ def duplicate_decisions(candidates: DataFrame, baseline: DataFrame | None) -> Da
     application_start, application_end, urls and announcements (arrays of canonical values); candidates also references
     (ids in the baseline). Steps: no baseline, stated reference, address (one, or several), announcement, full
     fingerprint, same title (with incomplete or with differing evidence), title within title, none. Each step is an
-    equi-join; matches are counted before they meet the candidates."""
+    equi-join; matches are counted before they meet the candidates. Texts and lists may be far longer than Spark takes them to
+    be, so no side is broadcast."""
     ids = candidates.select("id")
     if baseline is None:
         return ids.select("id", F.lit("duplicate_review_required").alias("outcome"), F.lit("aggregator_baseline_unavailable").alias("reason"), F.lit(0).cast("long").alias("matches"))
 
     def by(mine: DataFrame, theirs: DataFrame, on: list[str]) -> DataFrame:
-        return mine.join(theirs, on).select("id", "b").distinct()
+        return mine.join(theirs.hint("merge"), on).select("id", "b").distinct()
 
     def values(df: DataFrame, col: str, name: str) -> DataFrame:
         return df.select(F.col("id").alias(name), F.explode(col).alias("v"))
@@ -76,16 +87,16 @@ def duplicate_decisions(candidates: DataFrame, baseline: DataFrame | None) -> Da
     span = F.concat_ws("~", F.coalesce(F.col("application_start").cast("string"), F.lit("-")), F.coalesce(F.col("application_end").cast("string"), F.lit("-"))).alias("span")
     # The baseline is brought down to a row a value before it meets the candidates, as one title or content may be very frequent.
     same = baseline.where(there).select("id", *whole, span).groupBy(*whole, "span").agg(F.count_distinct("id").alias("full"))
-    full = candidates.where(there).select("id", *whole, span).join(same, [*whole, "span"]).select("id", "full")
+    full = candidates.where(there).select("id", *whole, span).join(same.hint("merge"), [*whole, "span"]).select("id", "full")
     thin = ((F.col("org_key") == "") | (F.col("support_key") == "") | (F.size("region_keys") <= 0) | F.col("application_start").isNull() | F.col("application_end").isNull()).alias("thin")
     titles = baseline.groupBy("title_key").agg(F.count(F.lit(1)).alias("titled"), F.bool_or(thin).alias("b_thin"))
-    titled = candidates.select("id", "title_key", thin).join(titles, "title_key").select("id", "titled", (F.col("thin") | F.col("b_thin")).alias("incomplete"))
+    titled = candidates.select("id", "title_key", thin).join(titles.hint("merge"), "title_key").select("id", "titled", (F.col("thin") | F.col("b_thin")).alias("incomplete"))
     within = contained_titles(candidates.select("id", F.col("title_key").alias("key")), baseline.select("id", F.col("title_key").alias("key"))).select(F.col("a").alias("id"), "b")
     steps = [("stated", stated), ("address", address), ("notice", notice), ("within", within)]
     out = ids
     for name, pairs in steps:
-        out = out.join(pairs.groupBy("id").agg(F.count(F.lit(1)).alias(name)), "id", "left")
-    out = out.join(full, "id", "left").join(titled, "id", "left")
+        out = out.join(pairs.groupBy("id").agg(F.count(F.lit(1)).alias(name)).hint("merge"), "id", "left")
+    out = out.join(full.hint("merge"), "id", "left").join(titled.hint("merge"), "id", "left")
     has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     kinds = (
         F.when(has("stated"), "excluded_aggregator_duplicate/aggregator_external_id_match/stated")
