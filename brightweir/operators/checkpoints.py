@@ -13,11 +13,11 @@ three, outcomes (a map) to the others; nulls count as empty. A source without a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightweir.operators import versions
-from brightweir.session import cut
+from brightweir.session import swept
 
 # Outcomes of a decision, and those that a failed one can be given later.
 OUTCOMES = ("accepted", "duplicate", "review", "closed", "failed")
@@ -25,41 +25,72 @@ RECLAIMED = ("review", "closed")
 ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 
 
-def _mentions(events: DataFrame) -> DataFrame:
-    """(source, seq, kind, id, outcome): a row for each identity that an event names, as often as it names it."""
-    named = F.when(F.col("kind").isin("discover", "amend", "capture"), F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("outcome")))).otherwise(
+def _names() -> Column:
+    """The identities that an event names, as often as it names them, each with its outcome."""
+    return F.when(F.col("kind").isin("discover", "amend", "capture"), F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("outcome")))).otherwise(
         F.transform(F.map_entries(F.coalesce("outcomes", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("outcome")))
     )
-    return events.select("source", "seq", "kind", F.explode(named).alias("x")).select("source", "seq", "kind", "x.id", "x.outcome")
 
 
-def _named(events: DataFrame) -> DataFrame:
-    """``_mentions``, each once, with what came before it. One shuffle and one sort serve both the grouping and the window."""
-    rows = _mentions(events).repartition("source", "id").groupBy("source", "id", "seq", "kind").agg(F.max("outcome").alias("outcome"))
+def _mentions(events: DataFrame) -> DataFrame:
+    """(source, seq, kind, id, outcome): a row for each identity that an event names, as often as it names it."""
+    return events.select("source", "seq", "kind", F.explode(_names()).alias("x")).select("source", "seq", "kind", "x.id", "x.outcome")
+
+
+def _before(rows: DataFrame, named: Column) -> DataFrame:
+    """rows with what came before them for their identity; named: whether a row stands for an identity."""
     before = Window.partitionBy("source", "id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    had = lambda *kinds: F.coalesce(F.max(F.col("kind").isin(*kinds)).over(before), F.lit(False))
+    had = lambda *kinds: F.coalesce(F.max(F.col("kind").isin(*kinds) & named).over(before), F.lit(False))
     decided = F.when(F.col("kind").isin("decide", "reclaim", "redecide"), F.col("outcome"))
     return rows.withColumns({"found": had("discover", "amend"), "captured": had("capture"), "outcome_before": F.last(decided, True).over(before)})
 
 
+def _named(events: DataFrame) -> DataFrame:
+    """``_mentions``, each once, with what came before it. One shuffle and one sort serve both the grouping and the window."""
+    rows = _mentions(events).repartition("source", "id").groupBy("source", "id", "seq", "kind").agg(F.max("outcome").alias("outcome"))
+    return _before(rows, F.lit(True))
+
+
+def _counts(named: Column) -> list[Column]:
+    """Of an event's rows of ``_before``, what its judgement asks for."""
+    n = lambda name, c: F.count_if(named & c).alias(name)
+    failed = F.col("outcome") == "failed"
+    return [
+        F.count_if(named).alias("n"),
+        n("new", ~F.col("found")),
+        n("again", F.col("captured")),
+        n("decided", F.col("outcome_before").isNotNull()),
+        n("bare", ~F.coalesce(failed, F.lit(False)) & ~F.col("captured")),
+        n("odd", ~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False))),
+        n("unfit", ~F.coalesce(F.col("outcome").isin(*RECLAIMED), F.lit(False))),
+        n("lost", F.col("captured") & F.coalesce(F.col("outcome_before") == "failed", F.lit(False))),
+        n("misnamed", ~F.coalesce(F.col("id").rlike(ID), F.lit(False))),
+    ]
+
+
 def judged(events: DataFrame) -> DataFrame:
     """events with fault: why an event is refused, given that all before it were not; null if it isn't."""
-    n = lambda c: F.count_if(c)
-    failed = F.col("outcome") == "failed"
-    per = _named(events).groupBy("source", "seq").agg(
-        F.count(F.lit(1)).alias("n"),
-        n(~F.col("found")).alias("new"),
-        n(F.col("captured")).alias("again"),
-        n(F.col("outcome_before").isNotNull()).alias("decided"),
-        n(~F.coalesce(failed, F.lit(False)) & ~F.col("captured")).alias("bare"),
-        n(~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False))).alias("odd"),
-        n(~F.coalesce(F.col("outcome").isin(*RECLAIMED), F.lit(False))).alias("unfit"),
-        n(F.col("captured") & F.coalesce(F.col("outcome_before") == "failed", F.lit(False))).alias("lost"),
-        n(~F.coalesce(F.col("id").rlike(ID), F.lit(False))).alias("misnamed"),
-    )
-    kind = F.col("kind")
+    per = _named(events).groupBy("source", "seq").agg(*_counts(F.lit(True)))
     # Counted here, so that lists which nobody asks for later need not be shuffled.
     rows = events.withColumn("__told", F.coalesce(F.size("ids"), F.lit(0))).join(per, ["source", "seq"], "left").fillna(0, ["n", "new", "again", "decided", "bare", "odd", "unfit", "lost", "misnamed"])
+    return _with_fault(rows).select(*events.columns, "fault", "pages", "known", "new", "n", "ended", "known_total")
+
+
+def _judged_together(events: DataFrame) -> DataFrame:
+    """``judged`` without ids and outcomes, for events that are partitioned by source: nothing is shuffled. A source's events have
+    a row each for what they name, and are put together again from these."""
+    own = ["seq", "kind", "page", "total", "has_next", "__told"]
+    told = events.withColumn("__told", F.coalesce(F.size("ids"), F.lit(0)))
+    each = told.select("source", *own, F.explode_outer(F.when(F.col("source").isNotNull(), _names())).alias("x"))
+    each = each.select("source", "x.id", *own, F.col("x").isNotNull().alias("__named"), "x.outcome")
+    named = F.col("__named")
+    rows = _before(each.groupBy("source", "id", *own, "__named").agg(F.max("outcome").alias("outcome")), named)
+    return _with_fault(rows.groupBy("source", *own).agg(*_counts(named)))
+
+
+def _with_fault(rows: DataFrame) -> DataFrame:
+    """Events with their counts and __told, the length of their list: with fault, and what came before in their source."""
+    kind = F.col("kind")
     rows = rows.withColumn("repeats", F.col("__told") > F.col("n"))
     so_far = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     finds = kind.isin("discover", "amend")
@@ -95,7 +126,7 @@ def judged(events: DataFrame) -> DataFrame:
         .when((kind == "reclaim") & (F.col("unfit") > 0), "outcome")
         .when(kind.isin("decide", "redecide") & (F.col("bare") > 0), "not_captured")
     )
-    return rows.withColumn("fault", fault).select(*events.columns, "fault", "pages", "known", "new", "n", "ended", "known_total")
+    return rows.withColumn("fault", fault)
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -115,22 +146,25 @@ def identities(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     )
 
 
-def summary(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """By source: next_page, total, found, captured, decided, failed, pending (not captured and not failed), discovered, complete, and
+def summary(events: DataFrame, rows: DataFrame | None = None, together: bool = False) -> DataFrame:
+    """together: events are partitioned by source, sources are small enough for a task each, and no seq is there twice in one; then
+    events are shuffled no more.
+
+    By source: next_page, total, found, captured, decided, failed, pending (not captured and not failed), discovered, complete, and
     the first fault with its seq."""
-    rows = judged(events) if rows is None else rows
+    rows = (_judged_together(events) if together else judged(events)) if rows is None else rows
     up_to = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     valid = ~F.max(F.col("fault").isNotNull()).over(up_to)
     rows = rows.select("source", "seq", "kind", "total", F.coalesce("has_next", F.lit(False)).alias("has_next"), "fault", valid.alias("valid"))
     page = F.col("valid") & (F.col("kind") == "discover") & F.col("source").isNotNull()
     # A row a source: what the judging of events is for. Written, as both the events that count and the result need it.
-    sources = cut(rows.groupBy("source").agg(
+    sources = swept(rows.groupBy("source").agg(
         (F.count_if(page) + 1).cast("long").alias("next_page"),
         F.max_by("total", F.when(page & F.col("total").isNotNull(), F.col("seq"))).alias("total"),
         F.coalesce(F.bool_or(page & ~F.col("has_next")), F.lit(False)).alias("discovered"),
         F.min(F.when(F.col("fault").isNotNull() & F.col("source").isNotNull(), F.struct("seq", "fault"))).alias("f"),
     ))
-    counted = events.select("source", "seq", "kind", "ids", "outcomes").join(sources.select("source", F.col("f.seq").alias("until")), "source").where("until IS NULL OR seq < until")
+    counted = events.select("source", "seq", "kind", "ids", "outcomes").join(sources.select("source", F.col("f.seq").alias("until")).hint("merge"), "source").where("until IS NULL OR seq < until")
     # Fixed-width values alone, so that tasks sum up an identity's events by hash before the shuffle. Outcomes of valid events are not null.
     states = _mentions(counted).groupBy("source", "id").agg(
         F.max((F.col("kind") == "capture").cast("int")).alias("captured"),

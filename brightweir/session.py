@@ -78,10 +78,15 @@ def swept(df: DataFrame) -> DataFrame:
     """``cut``, then Spark deletes the shuffle files of cuts before that nothing can read any more; else they stay until the driver
     happens to collect its garbage."""
     out = cut(df)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    sweep(df.sparkSession)
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files that nothing can read any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

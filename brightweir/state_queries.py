@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from brightweir.catalog_queries import _query
 from brightweir.functions import schema
 from brightweir.operators import buckets, checkpoints, release
-from brightweir.session import cut, scratch, table
+from brightweir.session import cut, scratch, sweep, table
 from brightweir.sources import verified
 from brightweir.streaming import folder
 
+#: Lines of all customers of a task, about, and of one customer whose events may stay together in a task.
+LINES = TOGETHER = 500_000
+
 
 @_query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 64 AS b, o_custkey AS c, o_orderstatus AS s FROM orders),
 n AS (SELECT *, b = 7 AND k % 3 = 0 AS changed, b = 9 AND k % 5 = 0 AS gone, b = 11 AND k % 7 = 0 AS late FROM o),
@@ -65,19 +68,30 @@ SELECT 'c' || g.c AS source, next_page, coalesce(found, 0) AS found, coalesce(ca
 FROM g JOIN f ON f.c = g.c LEFT JOIN n ON n.c = g.c""")
 def checkpoint_fold(spark, d):
     """Each customer's orders as events of a source: pages, captures, decisions, reclaims, and some that are refused."""
-    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    # Lines meet their order once and customers' orders meet once; of an order's parts, those that are new to its customer follow from there.
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o")).hint("merge")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
     by_source = Window.partitionBy("c").orderBy("o")
-    own = lines.groupBy("c", "o").agg(F.sort_array(F.collect_set(F.col("p").cast("string"))).alias("ids"))
+    own = orders.join(lines, "o").groupBy("c", "o").agg(F.collect_set("p").alias("ps")).repartition("c")
     own = own.withColumns({"page": F.row_number().over(by_source), "has_next": F.lead("o").over(by_source).isNotNull()})
-    new = lines.groupBy("c", "p").agg(F.min("o").alias("o")).groupBy("c", "o").agg(F.sort_array(F.collect_list("p")).alias("new"))
-    rows = own.join(new, ["c", "o"], "left").withColumn("new", F.coalesce("new", F.array().cast("array<bigint>")))
+    each = own.select("c", "o", "page", "has_next", F.explode_outer("ps").alias("p"))
+    is_new = F.row_number().over(Window.partitionBy("c", "p").orderBy("o")) == 1
+    rows = each.withColumn("is_new", is_new).groupBy("c", "o", "page", "has_next").agg(F.collect_list("p").alias("ids"), F.collect_list(F.when(F.col("is_new"), F.col("p"))).alias("new"))
+    path = scratch(spark, "orders")
+    rows.write.parquet(path)
+    sweep(spark)
+    rows = spark.read.parquet(path)
+    n, most = rows.groupBy("c").agg(F.sum(F.size("ids")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    rows = rows.withColumn("source", F.concat(F.lit("c"), "c"))
+    # A customer's events make some 400 bytes a line in their task, which Spark does not see in the rows that it deals.
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LINES), "source")
     text = lambda xs: F.transform(xs, lambda p: p.cast("string"))
     told = lambda p, bare: F.when(p % 5 == 0, F.when(bare, "accepted").otherwise("failed")).when(p % 3 == 2, "failed").when(p % 3 == 1, "closed").otherwise("accepted")
     caught = F.filter("new", lambda p: p % 5 != 0)
     back = F.filter("new", lambda p: (p % 5 != 0) & (p % 3 == 2) & (p % 2 == 0))
     each = lambda xs, f: F.map_from_arrays(text(xs), F.transform(xs, f))
     kinds = {
-        "discover": (F.lit(True), 0, "ids", None),
+        "discover": (F.lit(True), 0, text(F.col("ids")), None),
         "capture": (F.size(caught) > 0, 1, text(caught), None),
         "decide": (F.size("new") > 0, 2, None, each(F.col("new"), lambda p: told(p, F.col("o") % 31 == 0))),
         "reclaim": (F.size(back) > 0, 3, None, each(back, lambda p: F.lit("review"))),
@@ -86,13 +100,13 @@ def checkpoint_fold(spark, d):
         there,
         F.struct(
             (F.col("page") * 10 + step).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(step) == 0, F.col("page") + (F.col("o") % 29 == 0).cast("int")).cast("int").alias("page"),
-            (F.lit(None).cast("array<string>") if ids is None else F.col(ids) if isinstance(ids, str) else ids).alias("ids"), F.lit(None).cast("long").alias("total"), F.when(F.lit(step) == 0, F.col("has_next")).alias("has_next"), (F.lit(None).cast("map<string,string>") if outcomes is None else outcomes).alias("outcomes"),
+            (F.lit(None).cast("array<string>") if ids is None else ids).alias("ids"), F.lit(None).cast("long").alias("total"), F.when(F.lit(step) == 0, F.col("has_next")).alias("has_next"), (F.lit(None).cast("map<string,string>") if outcomes is None else outcomes).alias("outcomes"),
         ),
     )
-    # An order's events come from one row, so that orders and lines are read and joined once.
     each_row = F.explode(F.array_compact(F.array(*[one(kind, *rest) for kind, rest in kinds.items()])))
-    events = rows.select(F.concat(F.lit("c"), "c").alias("source"), each_row.alias("e")).select("source", "e.*")
-    return checkpoints.summary(cut(events)).drop("total")
+    events = rows.select("source", each_row.alias("e")).select("source", "e.*")
+    together = most <= TOGETHER
+    return checkpoints.summary(events if together else cut(events), together=together).drop("total")
 
 
 @_query("""WITH f AS (SELECT n_nationkey AS k, 'part-' || n_nationkey AS path, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brightweir import state_queries
 from brightweir.operators import buckets, checkpoints, versions
 from brightweir.streaming import folder
 
@@ -207,3 +208,23 @@ def test_what_an_event_names_is_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and sorted((r.id, r.found) for r in named.where("source = 'a'").collect()) == [("x", False), ("y", False), ("z", False)]
     got = {r.source: (r.next_page, r.found, r.discovered, r.fault, r.fault_at) for r in checkpoints.summary(spark.createDataFrame(rows, EVENT)).collect()}
     assert got == {"a": (1, 0, False, "page", 0), None: (1, 0, False, None, None)}
+
+
+def test_events_of_a_source_that_are_together_are_shuffled_no_more(spark):
+    rows = random_events(4) + random_events(5) + [(None, 0, "discover", 1, ["x"], None, True, None), ("b", 0, "discover", 1, [None, "x"], None, True, None), ("d", 0, "discover", 1, ["x"], 1, False, None), ("d", 1, "redecide", None, None, None, None, None)]
+    once = list({(r[0], r[1]): r for r in rows}.values())
+    events = spark.createDataFrame(once, EVENT)
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(checkpoints.summary(events.repartition(5, "source"), together=True)) == told(checkpoints.summary(events))
+    plan = checkpoints._judged_together(events.repartition(5, "source"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # before, a row for each identity was shuffled twice, and the events too
+
+
+def test_checkpoint_fold_keeps_small_customers_together_and_others_apart(spark, monkeypatch):
+    asked, whole = [], checkpoints.summary
+    monkeypatch.setattr(checkpoints, "summary", lambda events, **how: asked.append(how) or whole(events, **how))
+    rows = []
+    for most in (state_queries.TOGETHER, 0):
+        monkeypatch.setattr(state_queries, "TOGETHER", most)
+        rows.append(sorted(map(str, state_queries.checkpoint_fold(spark, "/root/testdata/sf0.001").collect())))
+    assert rows[0] == rows[1] and rows[0] and asked == [{"together": True}, {"together": False}]
